@@ -84,3 +84,21 @@ def test_divide_skip_finds_all_links():
             sets.append(np.array(sorted(s), U))
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(set(sets[i]) & set(sets[j])) >= 9 * len(set(sets[i]) | set(sets[j]))}
     assert set(divide_skip(sets, 9, 10, joined=False)) == want
+
+
+def test_large_clusters(spark, monkeypatch):
+    """With tiny chunks every path of large blocks and clusters runs."""
+    import tidewater.llm.jaccard_join as J
+
+    monkeypatch.setattr(J, "CHUNK", 3)
+    monkeypatch.setattr(J, "SIEVE_CHUNK", 4)
+    rnd = random.Random(11)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for n in range(120):
+        copy = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            copy[rnd.randrange(60)] = f"x{rnd.randrange(9)}"
+        rows.append((n, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_components(df, 3, 80, 100).collect())) == brute(rows, 3, 80, 100)
+    assert sorted(map(tuple, jaccard_components(df, 3, 90, 100).collect())) == brute(rows, 3, 90, 100)

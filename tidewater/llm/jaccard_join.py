@@ -1,14 +1,23 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip inside losslessly dealt blocks.
 
 Every document becomes the set of 64-bit hashes of its word shingles.  Equal sets collapse to one
-class.  Blocks: the hash space is cut into more parts than two linked sets can differ in elements,
-so linked sets agree on some whole part (pigeonhole); sets that agree on a part meet in that part's
+class.
+
+Blocks: the hash space is cut into more parts than two linked sets can differ in elements, so
+linked sets agree on some whole part (pigeonhole); sets that agree on a part meet in that part's
 block.  The number of parts depends on the size class of the sets; a set takes part in the scheme
-of its own class and of the next one, which covers all size ratios a link allows.  Within a block,
-each set queries the block's inverted lists: the longest lists are set aside, the short ones are
-merged with a heap, and sets that occur often enough are probed in the long lists by binary search
-(DivideSkip), which gives the exact overlap.  Large blocks are cut into chunks, and every pair of chunks
-is a work unit of its own, so no unit exceeds ``2 * CHUNK`` sets and no link is lost.
+of its own class and of the next one, which covers all size ratios a link allows.
+
+Sieve: each set carries a parity sketch, whose Hamming distance never exceeds the number of
+elements in which two sets differ.  Members of a block that no chain of close sketches connects
+part ways, still without losing a link.
+
+Search: what stays together forms clusters.  A work unit holds at most ``2 * CHUNK`` sets.  Within
+a unit each set queries inverted lists: the longest are set aside, the short ones are merged with
+a heap, and sets that occur often enough are probed in the long lists by binary search
+(DivideSkip), which gives exact overlaps.  A cluster of one unit's size is one unit.  A larger one
+is first searched in linear time, in chunks that share a few hub sets; if that doesn't connect it
+all, every block part whose members are still apart is searched too, every two chunks of it in a unit.
 """
 
 from __future__ import annotations
@@ -27,8 +36,12 @@ from tidewater.llm.common import free_shuffles, ids_of, materialise, slices, tex
 from tidewater.llm.graph import connected_components
 from tidewater.llm.kernels import U, Words, mix
 
-#: Sets in one chunk of a large block; a work unit holds at most two chunks.
-CHUNK = 1024
+#: Sets in one chunk; a work unit of the search holds at most two chunks.
+CHUNK = 128
+#: Nodes in one chunk of a large block during the sieve, where a row holds only a sketch.
+SIEVE_CHUNK = 1024
+#: Sets of a large cluster that every chunk of it is searched against first.
+HUBS = 4
 #: The constant of DivideSkip's rule for how many long lists to set aside.
 MU = 0.0085
 
@@ -47,6 +60,37 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of a set: as many bits as the power of two from twice its size (64 to 32768)."""
+    bits = 64
+    while bits < 2 * len(s) and bits < 32768:
+        bits *= 2
+    odd = np.bincount(((s >> U(17)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def sieve(sizes: list[int], sketches: list[bytes], num: int, den: int) -> list[list[int]]:
+    """Groups (two members or more) that chains of sketches close enough for a link connect."""
+    least = min(map(len, sketches))
+    rows = np.zeros((len(sizes), least // 8), U)
+    for i, raw in enumerate(sketches):  # folding halves onto each other leaves a parity sketch of fewer bits
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(raw, U).reshape(-1, least // 8), axis=0)
+    n = np.array(sizes)
+    left, out = np.arange(len(sizes)), []
+    while len(left):
+        group, todo, left = [int(left[0])], [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            far = np.bitwise_count(rows[left] ^ rows[i]).sum(axis=1, dtype=np.int64)
+            near = (den + num) * far <= (den - num) * (n[left] + n[i])
+            todo += left[near].tolist()
+            group += left[near].tolist()
+            left = left[~near]
+        if len(group) > 1:
+            out.append(group)
+    return out
+
+
 def size_classes(num: int, den: int, most: int) -> list[int]:
     """Upper ends of size classes such that two linked sets are in one class or in neighbouring ones."""
     ends = [1]
@@ -88,8 +132,8 @@ def _identify(width: int):
                 sets = sets_of(part, width)
                 keys = [set_key(s) for s in sets]
                 yield pa.record_batch(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                    ["doc_id", "n_shingles", "h1", "h2"],
+                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())],
+                    ["doc_id", "n_shingles", "h1", "h2", "sketch"],
                 )
 
     return run
@@ -121,44 +165,48 @@ def _postings(width: int, num: int, den: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(chunk: int):
     """From postings sorted by (sig, node): the distinct nodes of each signature that has several, in chunks."""
-    sig_now, held, number = None, [], 0
-
-    def emit(rows: list, more: bool) -> None:
-        nonlocal held, number
-        if len(held) > 1 or number:
-            rows.append((sig_now, number, more or number > 0, held))
-        held, number = [], number + 1
-
-    for batch in batches:
-        rows: list = []
-        sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(sig):
-            continue
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.concatenate([begin, [len(sig)]]))
-        # Runs of one row inside the batch are alone; only the first and the last may go on in other batches.
-        keep = length > 1
-        keep[0] = keep[-1] = True
-        for at, size in zip(begin[keep].tolist(), length[keep].tolist()):
-            s, members = int(sig[at]), node[at : at + size].tolist()
-            if s != sig_now:
-                emit(rows, False)
-                sig_now, number = s, 0
-            elif held and held[-1] == members[0]:
-                members = members[1:]
-            for m in members:
-                if len(held) >= CHUNK:
-                    emit(rows, True)
-                held.append(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig_now, held, number = None, [], 0
+
+        def emit(rows: list, more: bool) -> None:
+            nonlocal held, number
+            if len(held) > 1 or number:
+                rows.append((sig_now, number, more or number > 0, held))
+            held, number = [], number + 1
+
+        for batch in batches:
+            rows: list = []
+            sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            if not len(sig):
+                continue
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[new], node[new]
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            length = np.diff(np.concatenate([begin, [len(sig)]]))
+            # Runs of one row inside the batch are alone; only the first and the last may go on in other batches.
+            keep = length > 1
+            keep[0] = keep[-1] = True
+            for at, size in zip(begin[keep].tolist(), length[keep].tolist()):
+                s, members = int(sig[at]), node[at : at + size].tolist()
+                if s != sig_now:
+                    emit(rows, False)
+                    sig_now, number = s, 0
+                elif held and held[-1] == members[0]:
+                    members = members[1:]
+                for m in members:
+                    if len(held) >= chunk:
+                        emit(rows, True)
+                    held.append(m)
+            yield _run_batch(rows)
+        rows = []
+        emit(rows, False)
         yield _run_batch(rows)
-    rows = []
-    emit(rows, False)
-    yield _run_batch(rows)
+
+    return run
 
 
 def _run_batch(rows: list) -> pa.RecordBatch:
@@ -268,6 +316,33 @@ def _after(owner: np.ndarray, b: np.ndarray, e: np.ndarray, q: int) -> np.ndarra
         hi = np.where(open_ & ~go, mid, hi)
 
 
+def _sieved(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sizes, raws = None, [], [], []
+
+        def solve(out: list) -> None:
+            nonlocal nodes, sizes, raws
+            if len(nodes) > 1:
+                out += [sorted(nodes[i] for i in g) for g in sieve(sizes, raws, num, den)]
+            nodes, sizes, raws = [], [], []
+
+        for batch in batches:
+            out: list = []
+            for unit, node, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if unit != now:
+                    solve(out)
+                    now = unit
+                nodes.append(node)
+                sizes.append(n)
+                raws.append(raw)
+            yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["members"])
+        out = []
+        solve(out)
+        yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["members"])
+
+    return run
+
+
 def _units(num: int, den: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, docs, sets = None, [], []
@@ -297,39 +372,77 @@ def _pairs(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
-def jaccard_links(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10, joined: bool = True) -> tuple[DataFrame, DataFrame]:
+def _chunked(units: DataFrame, members: str, size: int) -> DataFrame:
+    """Rows of ``units`` whose array has at most 2 * size members, and every two chunks of the others."""
+    small = units.where(F.size(members) <= 2 * size).select(members)
+    big = units.where(F.size(members) > 2 * size)
+    count = F.ceil(F.size(members) / size).cast("int")
+    pair = F.expr(f"explode(flatten(transform(sequence(0, cast(ceil(size({members}) / {size}) as int) - 2), i -> transform(sequence(i + 1, cast(ceil(size({members}) / {size}) as int) - 1), j -> struct(i, j)))))")
+    tiles = big.where(count > 1).select(members, pair.alias("p"))
+    return small.union(tiles.select(F.expr(f"concat(slice({members}, p.i * {size} + 1, {size}), slice({members}, p.j * {size} + 1, {size}))").alias(members)))
+
+
+def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(ids, links).  ids: doc_id, n_shingles, rep, the smallest doc_id with the same set (null for empty sets).
 
-    links: pairs (a, b) of reps, a < b, whose sets have Jaccard similarity num/den or more; with
-    ``joined`` enough of them to connect what all of them connect.
+    links: pairs (a, b) of reps, a < b, whose sets have Jaccard similarity num/den or more, enough
+    of them to connect what all of them connect.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = materialise(docs.mapInArrow(_identify(width), "doc_id long, n_shingles long, h1 long, h2 long"), "ids")
-    full = ids.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    ids = materialise(docs.mapInArrow(_identify(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "ids")
+    classes = ids.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
 
     posted = docs.mapInArrow(_postings(width, num, den), "sig long, node long")
-    runs = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, chunk long, large boolean, members array<long>")
+    runs = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs(SIEVE_CHUNK), "sig long, chunk long, large boolean, members array<long>")
     runs = materialise(runs, "runs")
-    small = runs.where("not large").select("members").distinct()
     large = runs.where("large")
     other = large.select("sig", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
-    tiles = large.join(other, "sig").where("chunk < chunk2").select(F.concat("members", "members2").alias("members")).distinct()
-    units = small.union(tiles).select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-    units = materialise(units, "units")
+    tiles = large.join(other, "sig").where("chunk < chunk2").select(F.concat("members", "members2").alias("members"))
+    blocks = runs.where("not large").select("members").union(tiles).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
+    sketches = ids.where("doc_id is not null and n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    rows = blocks.join(sketches, "node").select("unit", "node", "n", "sketch").repartition("unit").sortWithinPartitions("unit")
+    groups = materialise(rows.mapInArrow(_sieved(num, den), "members array<long>").distinct(), "groups")
     free_shuffles(docs.sparkSession)
 
-    wanted = materialise(classes.join(units.select(F.col("node").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
-    texts = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
+    cluster = connected_components(groups.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")))
+    cluster = cluster.withColumnRenamed("component", "unit")
+    size = cluster.groupBy("unit").agg(F.count("*").alias("size"))
+    cluster = materialise(cluster.join(size, "unit"), "cluster")
+    wanted = materialise(classes.join(cluster.select(F.col("node").alias("h1")), "h1", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
     # A repeated doc_id has a set for each of its texts; only those whose node is asked for meet a unit.
-    rows = units.join(texts, "node").select("unit", "doc_id", "shingles")
-    links = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_units(num, den, joined), "a long, b long")
-    links = materialise(links.where("a <> b").distinct(), "links")
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
+
+    def search(units: DataFrame) -> DataFrame:
+        rows = units.join(sets, "node").select("unit", "doc_id", "shingles").repartition("unit").sortWithinPartitions("unit")
+        return materialise(rows.mapInArrow(_units(num, den, True), "a long, b long").where("a <> b").distinct(), "links")
+
+    big = cluster.where(F.col("size") > 2 * CHUNK)
+    links = search(cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big)))
+    if big.limit(1).count():
+        node_of = classes.select(F.col("rep"), F.col("h1").alias("node"))
+        found = links.join(node_of.select(F.col("rep").alias("a"), F.col("node").alias("u")), "a").join(node_of.select(F.col("rep").alias("b"), F.col("node").alias("v")), "b")
+        part = connected_components(found, "u", "v")
+        within = big.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+        held = groups.select(F.xxhash64("members").alias("g"), "members", F.explode("members").alias("node")).join(within, "node")
+        apart = held.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("g")
+        again = groups.withColumn("g", F.xxhash64("members")).join(apart, "g", "left_semi")
+        units = _chunked(again, "members", CHUNK).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
+        links = links.union(search(units))
     reps = ids.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"))
     return reps, links
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
+def _with_hubs(big: DataFrame) -> DataFrame:
+    """Units of chunks of the large clusters, each with the cluster's hubs: its nodes that come first by hash."""
+    order = F.struct(F.xxhash64("node", F.lit(7)).alias("o"), F.col("node"))
+    some = big.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.greatest(F.lit(1), F.expr(f"cast(size / {CHUNK // 2} as long)"))))
+    hubs = some.groupBy("unit", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(HUBS)).alias("h")).agg(F.min(order).getField("node").alias("node"))
+    chunks = some.select("unit", "salt").distinct().join(hubs, "unit").select("unit", "salt", "node")
+    both = some.select("unit", "salt", "node").union(chunks).distinct()
+    return both.select(F.xxhash64("unit", "salt").alias("unit"), "node")
+
+
+def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id reachable over links, the row's own included.  A null or
