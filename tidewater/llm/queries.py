@@ -6,19 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.decontaminate import contained_items
 from tidewater.llm.jaccard_join import jaccard_components
+from tidewater.llm.span_dedup import span_dedup
+from tidewater.llm.sstable import shard_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences that a repeated span of sentences covers, the first occurrence excepted."""
+    return span_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have Jaccard similarity 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs (doc_id, item_id) where the document holds 80 % or more of the test item's 5-word shingles."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, written and read back."""
+    return shard_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sentence_span_dedup": op3_sentence_span_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_token_sstable": op10_token_sstable,
 }
 ORACLE_SQL: dict[str, str] = {}
