@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,13 @@ from tidewater.llm.sstable import Reader, shard_digests, write_shards
 from tidewater.llm.tokens import default_path, encoder
 
 
+@lru_cache
+def library():
+    return Tokenizer.from_file(default_path())
+
+
 def plain(text):
-    return [*Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids, 0]
+    return [*library().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 TEXTS = ["", " ", "  ", "   ", "a b", "a  b", "a   b", " a", "a ", "a  ", "a\n b", "a \n b", "a\n  b", "a \nb", "a  \nb", "\t a", "it's  ok", "don't 12 3.5!", "é à  b", "x\x00 y", "a  b", "<|endoftext|> a", "a <|endoftext|>", "日本 語", "\r\n  x", "🙂 🙂  🙂"]

@@ -14,7 +14,7 @@ REMEMBERED = 800_000
 SLICE = 4 << 20
 _BASE = 0x9FB21C651E98DF25  # odd multiplier of the piece hash
 #: White space outside ASCII, as UTF-8 (fixed values of Unicode).
-_WIDE = [c.encode() for c in "\x85\xa0                　"]
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 _CLOSING = np.frombuffer(b".,!?;:", np.uint8)
 
@@ -28,8 +28,8 @@ def default_path() -> str:
 def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Byte positions at which a byte-level BPE is sure to begin a piece.
 
-    Those are a document's start; white space after other text; a space before other text; other
-    text after white space that isn't a space; and closing punctuation after an ASCII letter.
+    Those are a document's start; the first and the last character of white space within the text;
+    other text after white space that isn't a space; and closing punctuation after an ASCII letter.
     """
     n = len(data)
     ends = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
@@ -58,7 +58,7 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         low = data | np.uint8(32)
         letter[1:] = (low[:-1] >= 97) & (low[:-1] <= 122)
     closing = np.isin(data, _CLOSING)
-    return np.flatnonzero(first[:n] | (plain & ~before) | ((data == 32) & ~after) | (line & ~starts) | (closing & letter))
+    return np.flatnonzero(first[:n] | (plain & ~(before & after)) | (line & ~starts) | (closing & letter))
 
 
 class Encoder:
