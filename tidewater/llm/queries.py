@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import pii, quality
 
+from tidewater.llm.bloom_lm import score_texts
 from tidewater.llm.decontaminate import contained_items
 from tidewater.llm.jaccard_join import jaccard_components
 from tidewater.llm.packing import pack
 from tidewater.llm.span_dedup import span_dedup
 from tidewater.llm.sstable import shard_digests
 from tidewater.llm.url_filter import Rule, url_filter
+from tidewater.llm.voronoi_knn import top_k
 
 RULES = (
     Rule("org", "/", "allow"),
@@ -48,6 +50,16 @@ def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every whole text under the log-frequency Bloom filter model."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector with all others."""
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have Jaccard similarity 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
@@ -73,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_gam": op2_quality_gam,
     "op3_sentence_span_dedup": op3_sentence_span_dedup,
     "op4_pattern_packing": op4_pattern_packing,
+    "op5_bloom_lm": op5_bloom_lm,
+    "op6_voronoi_top_k": op6_voronoi_top_k,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filter": op9_url_filter,

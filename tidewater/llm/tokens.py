@@ -11,7 +11,7 @@ from tidewater.llm.kernels import U, range_hash
 #: Distinct pieces of text a worker remembers before it starts anew.
 REMEMBERED = 800_000
 #: Bytes of text encoded at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 _BASE = 0x9FB21C651E98DF25  # odd multiplier of the piece hash
 #: White space outside ASCII, as UTF-8 (fixed values of Unicode).
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
