@@ -3,12 +3,67 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh_path
+from tidewater.llm import pii, quality
+from tidewater.llm.common import fresh_path, materialise
+from tidewater.llm.decontaminate import contained_items
+from tidewater.llm.jaccard_join import jaccard_components
+from tidewater.llm.packing import pack
 
-STAGES: list = []
+#: Shingle width and similarity of near duplicates.
+WIDTH, NUM, DEN = 5, 80, 100
 
-#: SQL cannot express the trained stages; the pipeline is tested stage by stage against brute force.
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality classifier accepts."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).where("quality_kept").select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id, the one with the longest text stays.  Documents without words, and
+    rows with a null doc_id, are in no group and stay.
+    """
+    found = jaccard_components(docs, WIDTH, NUM, DEN)
+    gone = materialise(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not repeated.limit(1).count():
+        return kept.select(docs.columns)
+    one = F.max(F.struct(F.char_length("text").alias("longest"), *(F.col(c) for c in docs.columns))).alias("row")
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a test item of the benchmark."""
+    found = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(materialise(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data; ``n_chars`` follows the text where there is such a column."""
+    out = pii.mask(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents that are left, packed into sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_test_items),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
+
+#: SQL cannot express the trained stages; each stage is tested against a plain version instead.
 ORACLE_SQL = None
 
 
