@@ -67,7 +67,8 @@ def test_filter():
     rnd = np.random.default_rng(0)
     keys = np.unique(rnd.integers(0, 1 << 52, 20000).astype(np.uint64))
     counts = np.maximum(1, rnd.pareto(1, len(keys)).astype(int))
-    f = Filter(0, [(0, segment(keys, counts))])
+    raw = segment(keys, counts)
+    f = Filter(0, [(0, len(raw))], raw)
     got, exact = f.counts(keys), (3 * 2.0 ** np.floor(np.log2(counts)) - 1) / 2
     assert (got >= exact).all() and (got == exact).mean() > 0.97
     assert (f.counts(rnd.integers(0, 1 << 52, 20000).astype(np.uint64)) > 0).mean() < 0.03

@@ -32,7 +32,7 @@ BITS, HASHES = 10, 5
 MOST_BYTES = 192 << 20
 MU = 30.0
 #: Bytes of text in a chunk, and entries in a bucket of words or pairs.
-CHUNK, BUCKET = 12 << 20, 1 << 19
+CHUNK, BUCKET = 6 << 20, 1 << 19
 #: Bits of a pair's key.
 KEY = 52
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)  # stand-ins for the hashes of the end and of the start
@@ -187,16 +187,16 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """Some segments of the whole filter, laid end to end."""
+    """Some segments of the whole filter, laid end to end in ``raw``; ``lengths`` are (bucket, bytes) in that order."""
 
-    def __init__(self, bits: int, rows: list[tuple[int, bytes]]):
+    def __init__(self, bits: int, lengths: list[tuple[int, int]], raw: bytes):
         self.bits, n = bits, 1 << bits
         self.at, self.size = np.zeros(n, np.int64), np.zeros(n, np.int64)
         at = 0
-        for b, raw in rows:
-            self.at[b], self.size[b] = at, len(raw) * 8
-            at += len(raw)
-        self.raw = np.frombuffer(b"".join(raw for _, raw in rows), np.uint8)
+        for b, z in lengths:
+            self.at[b], self.size[b] = at, z * 8
+            at += z
+        self.raw = np.frombuffer(raw, np.uint8)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Expected counts, from the highest level that is present along with all below it."""
@@ -218,8 +218,8 @@ def _scores(shared, first: bool, n: int, v: int, starts: int):
     """Sums of the pass's segments; the first pass gives all other columns too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, wanted, rows = shared.value
-        filter_ = Filter(bits, rows)
+        bits, wanted, lengths_, raw = shared.value
+        filter_ = Filter(bits, lengths_, raw)
         mine = np.zeros(1 << bits, bool)
         mine[list(wanted)] = True
         for batch in batches:
@@ -294,7 +294,8 @@ def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUN
     for i, some in enumerate(passes):
         rows = [(r.bucket, bytes(r.bits)) for r in parts.where(F.col("bucket").isin(some)).select("bucket", "bits").collect()] if some else []
         wanted = set(some) | (set(range(1 << p_bits)) - held if i == 0 else set())
-        shared = spark.sparkContext.broadcast((p_bits, wanted, rows))
+        shared = spark.sparkContext.broadcast((p_bits, wanted, [(b, len(raw)) for b, raw in rows], b"".join(raw for _, raw in rows)))
+        del rows
         if i == 0:
             out = both.mapInArrow(_scores(shared, True, n, v, starts), "chunk long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         else:

@@ -60,11 +60,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity sketch of a set: as many bits as the power of two from twice its size (64 to 32768)."""
-    bits = 64
-    while bits < 2 * len(s) and bits < 32768:
-        bits *= 2
+def sketch(s: np.ndarray, bits: int | None = None) -> bytes:
+    """Parity sketch of a set: by default as many bits as the power of two from twice its size (64 to 32768)."""
+    if bits is None:
+        bits = 64
+        while bits < 2 * len(s) and bits < 32768:
+            bits *= 2
     odd = np.bincount(((s >> U(17)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -227,53 +228,62 @@ def _needed_sets(width: int):
     return run
 
 
-def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True) -> list[tuple[int, int]]:
+def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True, parts: list[int | None] | None = None) -> list[tuple[int, int]]:
     """Links (i, j), i < j, among the sets: ``den * intersection >= num * union``.
 
-    With ``joined`` a set already connected with the query is not probed, so the links returned
-    connect the same sets as all links would; without it every link is returned.
+    With ``joined`` sets already connected, by links found or by equal ``parts``, are not compared, so
+    the links returned connect the same sets as all links would; without it every link is
+    returned.  The inverted lists of a query hold the sets that its parity sketch admits.
     """
     m = len(sets)
     if m < 2:
         return []
-    up = list(range(m))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    up = np.arange(m)  # the smallest index of the group that each set is in
+    for i, part in enumerate(parts or ()):
+        if part is not None:
+            up[i] = parts.index(part)
+    size = np.array([len(s) for s in sets])
+    bits = 64
+    while bits < 2 * size.max() and bits < 8192:
+        bits *= 2
+    rows = np.stack([np.frombuffer(sketch(s, bits), U) for s in sets])
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
     order = np.lexsort((owner, flat))
     flat, owner = flat[order], owner[order]
     begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
     end = np.concatenate([begin[1:], [len(flat)]])
     names = flat[begin]
-    size = [len(s) for s in sets]
-    links, groups = [], m
+    links = []
     for q in range(m - 1):
-        n = size[q]
-        if joined and groups == 1:
+        n = int(size[q])
+        if joined and (up == up[0]).all():
             break
         if not n:
             continue
+        far = np.bitwise_count(rows[q + 1 :] ^ rows[q]).sum(axis=1, dtype=np.int64)
+        near = np.zeros(m, bool)
+        near[q + 1 :] = (den + num) * far <= (den - num) * (size[q + 1 :] + n)
+        if joined:
+            near &= up != up[q]
+        if not near.any():
+            continue
         at = np.searchsorted(names, sets[q])
-        b, e = begin[at], end[at]
-        b = np.maximum(b, _after(owner, b, e, q))
-        ln = e - b
-        some = ln > 0
-        b, ln = b[some], ln[some]
+        b, ln = begin[at], end[at] - begin[at]
+        of = np.repeat(np.arange(n), ln)
+        who = owner[np.repeat(b - (np.cumsum(ln) - ln), ln) + np.arange(len(of))]
+        of, who = of[near[who]], who[near[who]]
+        ln = np.bincount(of, minlength=n)
+        ends = np.cumsum(ln)
         t = -(-num * n // den)
-        if len(b) < t:
+        some = np.flatnonzero(ln)
+        if len(some) < t:
             continue
-        by = np.argsort(ln, kind="stable")
-        b, ln = b[by], ln[by]
-        aside = min(len(b), t - 1, int(t / (MU * log2(max(2, int(ln[-1]))) + 1)))
-        cut = len(b) - aside
-        lists = [owner[x : x + y].tolist() for x, y in zip(b.tolist(), ln.tolist())]
-        need, counts = t - aside, {}
+        some = some[np.argsort(ln[some], kind="stable")]
+        aside = min(len(some), t - 1, int(t / (MU * log2(max(2, int(ln[some[-1]]))) + 1)))
+        who = who.tolist()
+        lists = [who[x:y] for x, y in zip((ends - ln)[some].tolist(), ends[some].tolist())]
+        cut, need, counts = len(lists) - aside, t - aside, {}
         last, seen = -1, 0
         for i in heapq.merge(*lists[:cut]):
             if i != last:
@@ -284,38 +294,22 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True)
         if seen >= need:
             counts[last] = seen
         for i, overlap in counts.items():
-            low = -(-num * (n + size[i]) // (num + den))
-            if joined and root(i) == root(q):
+            if joined and up[i] == up[q]:
                 continue
-            left = aside
+            both = n + int(size[i])
+            low, left = -(-num * both // (num + den)), aside
             for one in lists[cut:]:
                 if overlap + left < low:
                     break
                 left -= 1
                 p = bisect_left(one, i)
                 overlap += p < len(one) and one[p] == i
-            if den * overlap >= num * (n + size[i] - overlap):
+            if den * overlap >= num * (both - overlap):
                 links.append((q, i))
-                x, y = root(q), root(i)
-                if x != y:
-                    up[x] = y
-                    groups -= 1
+                up[up == max(up[q], up[i])] = min(up[q], up[i])
     return links
 
 
-def _after(owner: np.ndarray, b: np.ndarray, e: np.ndarray, q: int) -> np.ndarray:
-    """First position in each list [b, e) whose owner is above q; lists hold ascending owners."""
-    lo, hi = b.copy(), e.copy()
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            return lo
-        mid = (lo + hi) // 2
-        go = open_ & (owner[np.minimum(mid, len(owner) - 1)] <= q)
-        lo = np.where(go, mid + 1, lo)
-        hi = np.where(open_ & ~go, mid, hi)
-
-
 def _sieved(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sizes, raws = None, [], [], []
@@ -345,20 +339,21 @@ def _sieved(num: int, den: int):
 
 def _units(num: int, den: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, sets = None, [], []
+        now, docs, sets, parts = None, [], [], []
 
         def solve(rows: list) -> None:
-            nonlocal docs, sets
-            rows += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in divide_skip(sets, num, den, joined)]
-            docs, sets = [], []
+            nonlocal docs, sets, parts
+            rows += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in divide_skip(sets, num, den, joined, parts)]
+            docs, sets, parts = [], [], []
 
         for batch in batches:
             rows: list = []
-            for unit, doc, s in zip(batch.column("unit").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("shingles")):
+            for unit, doc, part, s in zip(batch.column("unit").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("shingles")):
                 if unit != now:
                     solve(rows)
                     now = unit
                 docs.append(doc)
+                parts.append(part)
                 sets.append(np.frombuffer(s.as_buffer(), U))
             yield _pairs(rows)
         rows = []
@@ -413,11 +408,11 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
 
     def search(units: DataFrame) -> DataFrame:
-        rows = units.join(sets, "node").select("unit", "doc_id", "shingles").repartition("unit").sortWithinPartitions("unit")
+        rows = units.join(sets, "node").select("unit", "doc_id", "part", "shingles").repartition("unit").sortWithinPartitions("unit")
         return materialise(rows.mapInArrow(_units(num, den, True), "a long, b long").where("a <> b").distinct(), "links")
 
     big = cluster.where(F.col("size") > 2 * CHUNK)
-    links = search(cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big)))
+    links = search(cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big)).withColumn("part", F.lit(None).cast("long")))
     if big.limit(1).count():
         node_of = classes.select(F.col("rep"), F.col("h1").alias("node"))
         found = links.join(node_of.select(F.col("rep").alias("a"), F.col("node").alias("u")), "a").join(node_of.select(F.col("rep").alias("b"), F.col("node").alias("v")), "b")
@@ -427,7 +422,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
         apart = held.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("g")
         again = groups.withColumn("g", F.xxhash64("members")).join(apart, "g", "left_semi")
         units = _chunked(again, "members", CHUNK).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-        links = links.union(search(units))
+        links = links.union(search(units.join(within, "node")))
     reps = ids.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"))
     return reps, links
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the word and the sequence hash
+BYTES, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of hashes of bytes and of sequences
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -22,7 +22,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     have = _powers.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = 1 << max(16, n.bit_length())
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, U)
@@ -61,7 +61,7 @@ class Words:
         self.start = np.flatnonzero(inside & (~before | cut[:n]))
         self.end = np.flatnonzero(inside & (~after | cut[1:])) + 1
         self.of = np.searchsorted(self.start, offs)
-        self.hash = range_hash(self.data.astype(U) + U(1), self.start, self.end, _P) if n else np.zeros(0, U)
+        self.hash = range_hash(self.data.astype(U) + U(1), self.start, self.end, BYTES) if n else np.zeros(0, U)
 
     def shingles(self, width: int, base: int = _Q) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of ``width`` words of each document and their offsets; fewer words make one run of all."""

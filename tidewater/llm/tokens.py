@@ -6,13 +6,12 @@ import os
 
 import numpy as np
 
-from tidewater.llm.kernels import U, range_hash
+from tidewater.llm.kernels import BYTES, U, range_hash
 
 #: Distinct pieces of text a worker remembers before it starts anew.
 REMEMBERED = 800_000
 #: Bytes of text encoded at a time.
 SLICE = 2 << 20
-_BASE = 0x9FB21C651E98DF25  # odd multiplier of the piece hash
 #: White space outside ASCII, as UTF-8 (fixed values of Unicode).
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
@@ -81,7 +80,7 @@ class Encoder:
         docs = len(offs) - 1
         start = cuts(data, offs)
         end = np.append(start[1:], len(data))[: len(start)]
-        _, lead, which = np.unique(range_hash(data.astype(U) + U(1), start, end, _BASE) if len(start) else np.zeros(0, U), return_index=True, return_inverse=True)
+        _, lead, which = np.unique(range_hash(data.astype(U) + U(1), start, end, BYTES) if len(start) else np.zeros(0, U), return_index=True, return_inverse=True)
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(start[lead].tolist(), end[lead].tolist())]
         if len(self.known) + len(pieces) > REMEMBERED:

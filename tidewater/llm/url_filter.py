@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import text_buffers
-from tidewater.llm.kernels import U, mix, range_hash
+from tidewater.llm.kernels import BYTES, U, mix, range_hash
 
 BITS = 16
 GRAMS = (3, 4, 5)
 #: Most labelled urls that training uses.
 SAMPLE = 5_000
 EPOCHS, RATE, RIDGE = 30, 0.5, 1e-6
-_G = 0xB5026F5AA96619E9  # odd multiplier of the n-gram hash
 
 
 class Rule(NamedTuple):
@@ -66,7 +65,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     left = offs[1:][doc] - np.arange(len(data))
     for n in GRAMS:
         start = np.flatnonzero(left >= n)
-        at.append(range_hash(wide, start, start + n, _G))
+        at.append(range_hash(wide, start, start + n, BYTES))
         of.append(doc[start])
     # Host and path are told apart by a byte between them, so no n-gram mistakes one for the other.
     return (mix(np.concatenate(at)) >> U(64 - BITS)).astype(np.int64), np.concatenate(of)
