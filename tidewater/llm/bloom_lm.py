@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free_shuffles, ids_of, materialise, slices, text_buffers
+from tidewater.llm.common import free_shuffles, ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.kernels import U, Words, mix
 
 BITS, HASHES = 10, 5
@@ -75,6 +75,7 @@ def _chunks(size: int):
         return pa.record_batch([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(row)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         from pyspark import TaskContext
 
         number, held, n = TaskContext.get().partitionId() << 32, [], 0
@@ -97,6 +98,7 @@ def _chunks(size: int):
 
 def _word_buckets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for chunk, words, train in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "train"))):
                 words, train = ascended(words), unpacked(train, np.uint32)
@@ -148,6 +150,7 @@ def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 def _pair_buckets(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for row in batch.to_pylist():
                 _, known, held, lengths, _, word, before = _documents(row)
@@ -218,6 +221,7 @@ def _scores(shared, first: bool, n: int, v: int, starts: int):
     """Sums of the pass's segments; the first pass gives all other columns too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         bits, wanted, lengths_, raw = shared.value
         filter_ = Filter(bits, lengths_, raw)
         mine = np.zeros(1 << bits, bool)
@@ -258,7 +262,7 @@ def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUN
     """
     spark = docs.sparkSession
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     docs = docs.withColumn("held", F.coalesce(fold == 2, F.lit(False)))
     schema = "chunk long, ids binary, known_id binary, held binary, counts binary, tokens binary, words binary, train binary"
     chunks = materialise(docs.mapInArrow(_chunks(chunk), schema), "chunks")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes that Spark puts into one Arrow batch for a worker, so that long texts don't pile up in either process.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds this session's Arrow batches by bytes, unless the session has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text (string) alone, read in bounded batches."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: What a worker process keeps between tasks, by kind; see ``only``.
+caches: dict[str, dict] = {"tokens": {}, "powers": {}}
+
+
+def only(*kinds: str) -> None:
+    """Called as a task starts: drops what the worker has kept for operators of other kinds."""
+    for kind, cache in caches.items():
+        if kind not in kinds:
+            cache.clear()
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

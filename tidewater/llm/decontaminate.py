@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ids_of, slices, text_buffers
+from tidewater.llm.common import ids_of, only, slices, text_buffers, texts
 from tidewater.llm.kernels import U, Words, mix
 
 #: MinHash functions.
@@ -101,6 +101,7 @@ class Index:
 
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, ok = ids_of(part.column("doc_id"))
@@ -121,7 +122,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, num: int
     texts match nothing, and a null doc_id or item_id takes no part.  Repeated rows give one pair
     (the larger containment).  Words are compared with A-Z lower-cased.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     schema = "doc_id long, item_id long, containment double"
     found = None

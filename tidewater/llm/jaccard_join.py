@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free_shuffles, ids_of, materialise, slices, text_buffers
+from tidewater.llm.common import free_shuffles, ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.graph import connected_components
 from tidewater.llm.kernels import U, Words, mix
 
@@ -128,6 +128,7 @@ def signatures(s: np.ndarray, ends: list[int], num: int, den: int) -> np.ndarray
 
 def _identify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = sets_of(part, width)
@@ -142,6 +143,7 @@ def _identify(width: int):
 
 def _postings(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         ends = size_classes(num, den, 1 << 40)
         seen: set[int] = set()
         for batch in batches:
@@ -170,6 +172,7 @@ def _runs(chunk: int):
     """From postings sorted by (sig, node): the distinct nodes of each signature that has several, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         sig_now, held, number = None, [], 0
 
         def emit(rows: list, more: bool) -> None:
@@ -217,6 +220,7 @@ def _run_batch(rows: list) -> pa.RecordBatch:
 
 def _needed_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = sets_of(part, width)
@@ -312,6 +316,7 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True,
 
 def _sieved(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         now, nodes, sizes, raws = None, [], [], []
 
         def solve(out: list) -> None:
@@ -339,6 +344,7 @@ def _sieved(num: int, den: int):
 
 def _units(num: int, den: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         now, docs, sets, parts = None, [], [], []
 
         def solve(rows: list) -> None:
@@ -383,7 +389,7 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     links: pairs (a, b) of reps, a < b, whose sets have Jaccard similarity num/den or more, enough
     of them to connect what all of them connect.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     ids = materialise(docs.mapInArrow(_identify(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "ids")
     classes = ids.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
 

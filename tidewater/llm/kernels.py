@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 
+from tidewater.llm.common import caches
+
 U = np.uint64
 BYTES, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of hashes of bytes and of sequences
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = caches["powers"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

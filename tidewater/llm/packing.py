@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ids_of, materialise, slices, text_buffers
+from tidewater.llm.common import ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.tokens import SLICE, default_path, encoder
 
 #: Third-length choices tried for each first length.
@@ -136,6 +136,7 @@ def _pieces(tokenizer: str, size: int):
     names = ["task", "doc_id", "piece", "start", "length", "ids_crc32", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens", "powers")
         from pyspark import TaskContext
 
         task, counts, start = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), 0
@@ -162,6 +163,7 @@ def _place(runs: np.ndarray):
     step = int(runs[:, 1].max()) + 2 if len(runs) else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens", "powers")
         key = runs[:, 0].astype(object) * step + runs[:, 1] if step > 1 << 50 else runs[:, 0] * step + runs[:, 1]
         for batch in batches:
             length, rank = np.asarray(batch.column("length")), np.asarray(batch.column("rank")) + np.asarray(batch.column("before"))
@@ -183,7 +185,7 @@ def pack(docs: DataFrame, size: int = 2048, tokenizer: str | None = None) -> Dat
     A null or empty text is one piece, its end id.  Null and repeated doc_ids are packed like any
     other.  Documents longer than ``size`` are cut so that only the first piece is shorter.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     schema = "task long, doc_id long, piece int, start long, length long, ids_crc32 long, rank long"
     pieces = docs.mapInArrow(_pieces(tokenizer or default_path(), size), schema.replace("piece int", "piece long"))
     pieces = materialise(pieces, "pieces")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import slices
+from tidewater.llm.common import bounded_batches, only, slices, texts
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("local_phone", "national_id", "bank_account", "spelled_email", "person")
@@ -215,6 +215,7 @@ def train(counts: dict[tuple, int], rounds: int = 50) -> Model:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only()
     counts: Counter = Counter()
     for batch in batches:
         for part in slices(batch, "text"):
@@ -228,6 +229,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Model:
     """Trains on the candidates of all documents; the driver sees counts of vote patterns only."""
+    bounded_batches(docs.sparkSession)
     votes = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_votes, "kind string, form long, gazetteer long, context long, n long")
     rows = votes.groupBy("kind", "form", "gazetteer", "context").agg(F.sum("n").alias("n")).collect()  # at most kinds * 27
     return train({tuple(r)[:4]: r.n for r in rows})
@@ -259,6 +261,7 @@ def listed(some: list[Span]) -> str:
 
 def _find(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in slices(batch, "text"):
                 n: list[list[int]] = [[], [], [], []]
@@ -281,7 +284,7 @@ def _find(model: Model):
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_email, n_ip, n_card,
     n_phone, base_sha256, spans.  A null or empty text has none; null or repeated doc_ids are kept as they are."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return docs.mapInArrow(_find(model or fit(docs)), schema)
 
@@ -298,6 +301,7 @@ def masked(text: str, model: Model) -> str:
 
 def _mask(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t and masked(t, model) for t in part.column("text").to_pylist()]
@@ -309,4 +313,5 @@ def _mask(model: Model):
 
 def mask(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` masked; all other columns and rows stay."""
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_mask(model or fit(docs)), docs.schema)

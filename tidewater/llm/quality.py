@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.llm.common import slices, text_buffers
+from tidewater.llm.common import bounded_batches, only, slices, text_buffers, texts
 from tidewater.llm.kernels import Words
 
 #: Most labelled rows that training uses.
@@ -167,6 +167,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("powers")
     for batch in batches:
         for part in slices(batch, "text"):
             x = measure(*text_buffers(part.column("text")))
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (fold != 0))
     order = (F.xxhash64("doc_id"), "doc_id", "quality")
     some = labels.orderBy(*order).limit(sample)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     # At most ``sample`` rows of 12 bytes, whatever the input's size.
     rows = docs.join(F.broadcast(some), "doc_id").mapInArrow(_measured, "doc_id long, quality int, x array<double>")
     got = rows.orderBy(*order).limit(sample).select("quality", "x").collect()
@@ -189,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _scored(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         for batch in batches:
             for part in slices(batch, "text"):
                 score = model.score(measure(*text_buffers(part.column("text"))))
@@ -203,6 +205,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Columns of these names are replaced.  A null or empty text is scored like any other, on zeros.
     Needs a ``text`` column only; every other column and every row stays.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("quality_score", "quality_kept").withColumn("text", F.col("text").cast("string"))
     schema = StructType(list(docs.schema.fields)).add("quality_score", "double").add("quality_kept", "boolean")
     return docs.mapInArrow(_scored(model, threshold), schema)

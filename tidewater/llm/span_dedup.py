@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ids_of, slices, text_buffers
+from tidewater.llm.common import ids_of, only, slices, text_buffers, texts
 from tidewater.llm.kernels import U, Words, mix, range_hash
 
 _R1, _R2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB  # odd multipliers of the two span hashes
@@ -62,6 +62,7 @@ def _spans(run: int, long_words: int):
         return pa.record_batch([pa.array(c[~same]) for c in cols], names)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
         held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -112,6 +113,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("powers")
     for batch in batches:
         for part in slices(batch, "text"):
             words = Words(*text_buffers(part.column("text")))
@@ -151,7 +153,7 @@ def span_dedup(docs: DataFrame, run: int = 3, long_words: int = 40) -> DataFrame
     are one document and are all treated alike.  A document of which everything is removed stays
     as a row with an empty text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     # Positions of different texts with one doc_id don't meet: the upper bits come from the text.
     docs = docs.withColumn("tag", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x3FFFFFFF)), 32))
     spans = docs.mapInArrow(_spans(run, long_words), "key long, h1 long, h2 long, doc_id long, pos long, size int, later boolean")

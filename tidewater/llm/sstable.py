@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh_path, free_shuffles, ids_of, materialise, slices, text_buffers
+from tidewater.llm.common import free_shuffles, fresh_path, ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.tokens import SLICE, default_path, encoder
 
 MAGIC = b"TWSST001"
@@ -153,6 +153,7 @@ class Reader:
 
 def _write(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens", "powers")
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
@@ -188,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     n_ids, n_docs.  A null text counts as empty; rows with a null doc_id have no key and are not
     written; rows that repeat a doc_id are all written, ordered by a hash of their text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    rows = texts(docs).where("doc_id is not null")
     rows = rows.withColumn("tie", F.xxhash64("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -197,6 +198,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
 
 def _read(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens", "powers")
         files, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):

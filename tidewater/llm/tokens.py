@@ -6,10 +6,11 @@ import os
 
 import numpy as np
 
+from tidewater.llm.common import caches
 from tidewater.llm.kernels import BYTES, U, range_hash
 
 #: Distinct pieces of text a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Bytes of text encoded at a time.
 SLICE = 2 << 20
 #: White space outside ASCII, as UTF-8 (fixed values of Unicode).
@@ -74,6 +75,7 @@ class Encoder:
         if any(set(t.content) & set(" \t\r\n") for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("a special token with white space in it is not supported")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents end to end as uint32, their offsets) for UTF-8 bytes and offsets."""
@@ -83,8 +85,10 @@ class Encoder:
         _, lead, which = np.unique(range_hash(data.astype(U) + U(1), start, end, BYTES) if len(start) else np.zeros(0, U), return_index=True, return_inverse=True)
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(start[lead].tolist(), end[lead].tolist())]
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) + len(pieces) > REMEMBERED // 2:  # what the last half didn't meet is forgotten
+            self.older, self.known = self.known, {}
+        if self.older:
+            self.known.update((p, self.older[p]) for p in pieces if p not in self.known and p in self.older)
         new = [p for p in pieces if p not in self.known]
         if new:
             for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
@@ -100,7 +104,7 @@ class Encoder:
         return flat, to[of + np.arange(docs + 1)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = caches["tokens"]
 
 
 def encoder(path: str) -> Encoder:
