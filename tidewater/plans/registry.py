@@ -1,19 +1,263 @@
-"""All registered queries of the library proper, with their SQL."""
+"""All registered queries of the library proper, with their SQL.
+
+A query is a function of a table loader ``t``; SQL is given where DuckDB can say the same.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidewater.functions import casts, catalyst, layout, nested, numbers, times
+from tidewater.operators import aggregates, joins
+from tidewater.sources import tables
+from tidewater.streaming import windows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Load = Callable[[str], DataFrame]
+_QUERIES: dict[str, Callable[[Load], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def _add(name: str, sql: str | None = None):
+    def keep(f: Callable[[Load], DataFrame]) -> Callable[[Load], DataFrame]:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _project(name: str, table: str, cols: dict, sql: str | None = None, where: str | None = None) -> None:
+    """A projection query; ``cols`` maps names to functions of no argument, called when a session is active."""
+
+    def run(t: Load) -> DataFrame:
+        df = t(table) if where is None else t(table).where(where)
+        return df.select(*(c().alias(n) if callable(c) else F.expr(c).alias(n) for n, c in cols.items()))
+
+    _add(name, sql and f"SELECT {sql} FROM {table}" + (f" WHERE {where}" if where else ""))(run)
+
+
+c = F.col
+
+# Scans and files
+_project("scan_projection_pushdown", "lineitem", {"k": "l_orderkey", "n": "l_linenumber"}, "l_orderkey AS k, l_linenumber AS n", "l_quantity > 45")
+
+
+@_add("scan_count", "SELECT count(*) AS n, CAST(11 AS BIGINT) AS columns FROM lineitem")
+def _scan_count(t: Load) -> DataFrame:
+    df = t("lineitem")
+    return df.agg(F.count("*").alias("n"), F.lit(len(df.columns)).cast("long").alias("columns"))
+
+
+@_add("scan_case_insensitive", "SELECT sum(l_linenumber)::BIGINT AS s FROM lineitem")
+def _scan_case(t: Load) -> DataFrame:
+    return t("lineitem").agg(F.sum("L_LINENUMBER").alias("s"))
+
+
+_project("orc_rezone", "orders", {"k": "o_orderkey", "u": lambda: F.unix_micros(times.rezone(c("o_orderdate").cast("timestamp"), "UTC", "Asia/Tokyo"))}, "o_orderkey AS k, epoch_us(o_orderdate) - 32400000000 AS u")
+
+# Predicates
+_project("case_when_selector", "part", {"k": "p_partkey", "i": lambda: nested.first_true(c("p_size") < 10, c("p_size") < 25, c("p_retailprice") > 1500)}, "p_partkey AS k, CASE WHEN p_size < 10 THEN 0 WHEN p_size < 25 THEN 1 WHEN p_retailprice > 1500 THEN 2 ELSE 3 END AS i")
+_project("regex_literal_range", "customer", {"k": "c_custkey", "hit": lambda: casts.contains_literal_range(c("c_name"), "#", "0", "5", 4)}, "c_custkey AS k, regexp_matches(c_name, '#[0-5]{4,}') AS hit")
+_project("filter_like", "part", {"k": "p_partkey"}, "p_partkey AS k", "p_type LIKE '%STEEL%' OR p_brand = 'Brand#12'")
+
+# Joins
+_PAIR = [("l_orderkey", "o_orderkey")]
+
+
+def _join_sum(t: Load, how: str, strategy: str | None, nulls_equal: bool = False) -> DataFrame:
+    o = t("orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber")
+    out = joins.join(lines, o, _PAIR, how, nulls_equal=nulls_equal, strategy=strategy)
+    price = F.sum("o_totalprice") if how not in ("left_semi", "left_anti") else F.lit(0.0)
+    return out.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"), F.round(price, 0).alias("price"))
+
+
+for _name, _how, _kind in (("inner", "inner", "JOIN"), ("left", "left", "LEFT JOIN"), ("right", "right", "RIGHT JOIN"), ("full", "full", "FULL JOIN"), ("semi", "left_semi", "SEMI JOIN"), ("anti", "left_anti", "ANTI JOIN")):
+    _price = "round(sum(o_totalprice), 0)" if _how not in ("left_semi", "left_anti") else "CAST(0.0 AS DOUBLE)"
+    _sql = f"SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines, {_price} AS price FROM lineitem {_kind} (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0) o ON l_orderkey = o_orderkey"
+    for _strategy in ("merge", "hash") if _name == "inner" else (None,):
+        _add(f"join_{_name}" + (f"_{_strategy}" if _strategy else ""), _sql)(partial(_join_sum, how=_how, strategy=_strategy))
+_add("join_nulls_equal", "SELECT count(*) AS n FROM (SELECT nullif(c_nationkey % 5, 0) AS k FROM customer) a JOIN (SELECT nullif(s_nationkey % 5, 0) AS k2 FROM supplier) b ON k IS NOT DISTINCT FROM k2")(
+    lambda t: joins.join(t("customer").select(F.expr("nullif(c_nationkey % 5, 0) AS k")).groupBy("k").agg(F.count("*").alias("x")), t("supplier").select(F.expr("nullif(s_nationkey % 5, 0) AS k2")).groupBy("k2").agg(F.count("*").alias("y")), [("k", "k2")], nulls_equal=True).agg(F.sum(c("x") * c("y")).alias("n"))
+)
+_add("join_residual_left", "SELECT count(*) AS n, count(l_orderkey) AS matched FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 2")(
+    lambda t: joins.join(o := t("orders"), li := t("lineitem"), [("o_orderkey", "l_orderkey")], "left", residual=li["l_extendedprice"] > o["o_totalprice"] / 2).agg(F.count("*").alias("n"), F.count("l_orderkey").alias("matched"))
+)
+_add("join_matched_mask", "SELECT o_orderkey AS k, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS matched FROM orders")(
+    lambda t: joins.with_matches(t("orders").select(c("o_orderkey").alias("k"), "o_custkey"), t("customer").where("c_acctbal > 5000"), [("o_custkey", "c_custkey")]).select("k", "matched")
+)
+_add("join_empty_side", "SELECT count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 0) ON o_custkey = c_custkey")(
+    lambda t: joins.join(t("orders"), t("customer").where("c_custkey < 0"), [("o_custkey", "c_custkey")], "left").agg(F.count("*").alias("n"))
+)
+
+# Aggregates, windows, sorts and set operations
+_project("chunk_int64", "lineitem", {"low": lambda: numbers.low_chunk(c("l_orderkey") * 7919171717), "high": lambda: numbers.high_chunk(c("l_orderkey") * 7919171717)}, "(l_orderkey * 7919171717) & 4294967295 AS low, (l_orderkey * 7919171717) >> 32 AS high")
+_add("sum_with_overflow", "SELECT l_returnflag AS f, sum(l_orderkey * 1000000)::BIGINT AS s, false AS o FROM lineitem GROUP BY 1")(
+    lambda t: t("lineitem").groupBy(c("l_returnflag").alias("f")).agg(numbers.sum_with_overflow(c("l_orderkey") * 1000000).alias("x")).select("f", c("x.sum").alias("s"), c("x.overflow").alias("o"))
+)
+
+
+@_add("bloom_filter_semi", "SELECT count(*) FILTER (WHERE l_orderkey % 4 = 0) AS members, CAST(0 AS BIGINT) AS missed FROM lineitem")
+def _bloom(t: Load) -> DataFrame:
+    """Members of a filter and how many of them it misses; its size is fixed by the number of bits."""
+    some = c("l_orderkey") % 4 == 0
+    bloom = t("lineitem").where(some).agg(catalyst.bloom_filter_agg(c("l_orderkey"), 1_000_000, 8_388_608)).scalar()
+    hit = catalyst.might_contain(bloom, c("l_orderkey"))
+    return t("lineitem").where(some).select(hit.alias("hit")).agg(F.count("*").alias("members"), F.count_if(~c("hit")).alias("missed"))
+
+
+_add("hll_sketch")(lambda t: aggregates.hll_estimate(aggregates.hll_registers(t("lineitem"), ["l_returnflag"], "l_partkey", 12), ["l_returnflag"], 12))
+_add("approx_count_distinct")(lambda t: t("lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("n")))
+_add("histogram", "SELECT l_returnflag AS f, l_linenumber AS value, count(*) AS freq FROM lineitem GROUP BY ALL")(
+    lambda t: aggregates.histogram(t("lineitem"), ["l_returnflag"], "l_linenumber").select(c("l_returnflag").alias("f"), F.explode("histogram").alias("h")).select("f", "h.value", "h.freq")
+)
+_add("histogram_percentiles", "SELECT l_returnflag AS f, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY 1")(
+    lambda t: t("lineitem").groupBy(c("l_returnflag").alias("f"), "l_quantity").agg(F.count("*").alias("n")).groupBy("f").agg(aggregates.percentiles(c("l_quantity"), c("n"), (0.25, 0.5, 0.9)).alias("p")).select("f", *(c("p")[i].alias(x) for i, x in enumerate(("p25", "p50", "p90"))))
+)
+_add("agg_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 0) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")(
+    lambda t: t("lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02 00:00:00'").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 0).alias("qty"), F.round(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 0).alias("revenue"), F.count("*").alias("n"))
+)
+_add("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")(lambda t: t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")))
+_add("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")(lambda t: t("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")))
+_add("agg_distinct", "SELECT l_suppkey AS k, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1")(lambda t: t("lineitem").groupBy(c("l_suppkey").alias("k")).agg(F.count_distinct("l_partkey").alias("n")))
+_add("window_rank", "SELECT * FROM (SELECT o_custkey AS k, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")(
+    lambda t: t("orders").select(c("o_custkey").alias("k"), c("o_orderkey").alias("o"), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("r")).where("r <= 3")
+)
+_add("window_lag", "SELECT event_id AS e, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events")(
+    lambda t: t("events").select(c("event_id").alias("e"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("before"))
+)
+_add("sort_top", "SELECT o_orderkey AS k FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(lambda t: t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select(c("o_orderkey").alias("k")))
+_add("set_operations", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")(
+    lambda t: t("customer").select(c("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey")).subtract(t("nation").where("n_regionkey = 0").select("n_nationkey"))
+)
+
+# Layout
+_project("interleave_bits", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "z": lambda: F.hex(layout.interleave_bits([c("l_linenumber"), c("l_suppkey").cast("int")]))})
+_project("interleave_bits_8", "part", {"k": "p_partkey", "z": lambda: F.conv(F.hex(layout.interleave_bits([c("p_size"), c("p_partkey") % 256], 8)), 16, 10).cast("long")}, "p_partkey AS k, " + " + ".join(f"(((p_size >> {b}) & 1) << {2 * b + 1}) + ((((p_partkey % 256) >> {b}) & 1) << {2 * b})" for b in range(8)) + " AS z")
+_project("hilbert_index", "part", {"k": "p_partkey", "h": lambda: layout.hilbert_index([c("p_size"), c("p_partkey") % 64], 6)})
+_add("layout_clustered", "SELECT p_partkey AS k, p_size AS s FROM part")(lambda t: layout.cluster_by(t("part"), layout.interleave_bits([c("p_size"), c("p_partkey").cast("int")]), 8).select(c("p_partkey").alias("k"), c("p_size").alias("s")))
+
+# Dates and times
+for _unit in ("YEAR", "QUARTER", "MONTH", "WEEK"):
+    _project(f"truncate_date_{_unit.lower()}", "orders", {"k": "o_orderkey", "d": lambda u=_unit: times.truncate_date(F.to_date("o_orderdate"), u).cast("string")}, f"o_orderkey AS k, CAST(CAST(date_trunc('{_unit}', o_orderdate) AS DATE) AS VARCHAR) AS d")
+for _unit in ("YEAR", "QUARTER", "MONTH", "WEEK", "DAY", "HOUR", "MINUTE", "SECOND", "MILLISECOND", "MICROSECOND"):
+    _project(f"truncate_time_{_unit.lower()}", "events", {"e": "event_id", "u": lambda u=_unit: F.unix_micros(times.truncate_time(c("ts").cast("timestamp"), u))}, f"event_id AS e, epoch_us(date_trunc('{_unit}', ts)) AS u")
+_project("truncate_unit_column", "events", {"e": "event_id", "d": lambda: times.truncate_date(F.to_date("ts"), F.when(c("event_id") % 2 == 0, "MM").otherwise("none")).cast("string")}, "event_id AS e, CASE WHEN event_id % 2 = 0 THEN CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) END AS d")
+_project("rebase_to_julian", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "d": lambda: times.gregorian_to_julian_days(c("l_orderkey") % 300000 - 400000)})
+_project("rebase_round_trip", "orders", {"k": "o_orderkey", "same": lambda: times.gregorian_to_julian_days(times.julian_to_gregorian_days(-c("o_orderkey") - 141427)) == -c("o_orderkey") - 141427}, "o_orderkey AS k, true AS same")
+_project("local_to_utc", "orders", {"k": "o_orderkey", "u": lambda: F.unix_micros(times.local_to_utc(c("o_orderdate").cast("timestamp"), "America/New_York"))}, "o_orderkey AS k, epoch_us(timezone('America/New_York', o_orderdate)) AS u")
+_project("utc_to_local", "orders", {"k": "o_orderkey", "u": lambda: F.unix_micros(times.utc_to_local(c("o_orderdate").cast("timestamp"), "Europe/Paris"))}, "o_orderkey AS k, epoch_us(timezone('Europe/Paris', timezone('UTC', o_orderdate))) AS u")
+_project("zone_per_row", "events", {"e": "event_id", "u": lambda: F.unix_micros(times.local_to_utc(c("ts").cast("timestamp"), F.when(c("user_id") % 2 == 0, "+05:30").otherwise("Asia/Tokyo")))}, "event_id AS e, epoch_us(ts) - CASE WHEN user_id % 2 = 0 THEN 19800000000 ELSE 32400000000 END AS u")
+_project("partition_years", "orders", {"k": "o_orderkey", "y": lambda: times.years(c("o_orderdate"))}, "o_orderkey AS k, CAST(year(o_orderdate) - 1970 AS INTEGER) AS y")
+_project("partition_months", "orders", {"k": "o_orderkey", "m": lambda: times.months(c("o_orderdate"))}, "o_orderkey AS k, CAST((year(o_orderdate) - 1970) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m")
+_project("partition_days", "orders", {"k": "o_orderkey", "d": lambda: times.days(c("o_orderdate")).cast("string")}, "o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d")
+_project("partition_hours", "events", {"e": "event_id", "h": lambda: times.hours(c("ts").cast("timestamp"))}, "event_id AS e, CAST(epoch_us(ts) // 3600000000 AS INTEGER) AS h")
+_project("partition_truncate_number", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "t": lambda: times.truncate_number(3 - c("l_orderkey"), 100)}, "l_orderkey AS k, l_linenumber AS n, (3 - l_orderkey) - ((((3 - l_orderkey) % 100) + 100) % 100) AS t")
+_project("partition_truncate_text", "part", {"k": "p_partkey", "t": lambda: times.truncate_text(c("p_name"), 4)}, "p_partkey AS k, left(p_name, 4) AS t")
+
+# Casts and strings
+_project("cast_string_to_int", "events", {"e": "event_id", "i": lambda: casts.to_integer(F.concat(F.lit(" "), c("value").cast("string")))}, "event_id AS e, CAST(trunc(value) AS INTEGER) AS i")
+_project("cast_string_no_strip", "events", {"e": "event_id", "i": lambda: casts.to_integer(F.concat(F.when(c("event_id") % 2 == 0, " ").otherwise(""), c("user_id").cast("string")), strip=False)}, "event_id AS e, CASE WHEN event_id % 2 = 1 THEN CAST(user_id AS INTEGER) END AS i")
+_project("cast_string_to_decimal", "events", {"e": "event_id", "d": lambda: casts.to_decimal(c("value").cast("string"), 12, 1).cast("string")}, "event_id AS e, CAST(CAST(CAST(value AS VARCHAR) AS DECIMAL(12,1)) AS VARCHAR) AS d")
+_project("cast_string_to_double", "events", {"e": "event_id", "d": lambda: casts.to_double(c("value").cast("string"))}, "event_id AS e, value AS d")
+_project("cast_double_to_string", "events", {"e": "event_id", "s": lambda: c("value").cast("string")}, "event_id AS e, CAST(value AS VARCHAR) AS s")
+_project("format_number", "customer", {"k": "c_custkey", "s": lambda: F.format_number(F.round("c_acctbal", 0).cast("long"), 0)}, "c_custkey AS k, format('{:,}', CAST(round(c_acctbal, 0) AS BIGINT)) AS s")
+_project("cast_decimal_to_string", "customer", {"k": "c_custkey", "s": lambda: c("c_acctbal").cast("decimal(12,2)").cast("string")}, "c_custkey AS k, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s")
+_project("cast_long_to_binary", "orders", {"k": "o_orderkey", "b": lambda: F.bin("o_orderkey")}, "o_orderkey AS k, bin(o_orderkey) AS b")
+_project("string_from_base", "orders", {"k": "o_orderkey", "v": lambda: casts.from_base(F.concat(F.hex("o_orderkey"), F.lit("xyz")), 16)}, "o_orderkey AS k, o_orderkey AS v")
+_project("integer_to_base", "orders", {"k": "o_orderkey", "h": lambda: casts.to_base(c("o_orderkey"), 16), "d": lambda: casts.to_base(c("o_orderkey"), 10)}, "o_orderkey AS k, hex(o_orderkey) AS h, CAST(o_orderkey AS VARCHAR) AS d")
+_project("cast_string_to_timestamp", "orders", {"k": "o_orderkey", "u": lambda: F.unix_micros(casts.to_timestamp(F.concat(c("o_orderdate").cast("string"), F.lit("+01:00"))))}, "o_orderkey AS k, epoch_us(o_orderdate) - 3600000000 AS u")
+_project("cast_string_to_date", "orders", {"k": "o_orderkey", "d": lambda: casts.to_date(c("o_orderdate").cast("string")).cast("string")}, "o_orderkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d")
+_project("cast_double_to_decimal", "customer", {"k": "c_custkey", "d": lambda: c("c_acctbal").cast("decimal(18,4)").cast("string")}, "c_custkey AS k, CAST(CAST(c_acctbal AS DECIMAL(18,4)) AS VARCHAR) AS d")
+_project("substring_index", "pages", {"p": "page_id", "s": lambda: F.substring_index("url", "/", 3)}, "page_id AS p, array_to_string(list_slice(string_split(url, '/'), 1, 3), '/') AS s")
+_project("conv_base", "orders", {"k": "o_orderkey", "v": lambda: F.conv(c("o_orderkey").cast("string"), 10, 2)}, "o_orderkey AS k, bin(o_orderkey) AS v")
+_project("conv_overflow", "orders", {"k": "o_orderkey", "o": lambda: casts.conv_overflows(F.concat(F.lit("1844674407370"), F.lpad(c("o_orderkey").cast("string"), 7, "9")), 10)}, "o_orderkey AS k, CAST('1844674407370' || lpad(CAST(o_orderkey AS VARCHAR), 7, '9') AS HUGEINT) > 18446744073709551615 AS o")
+_project("random_uuid", "customer", {"k": "c_custkey", "ok": lambda: F.regexp_like(F.uuid(), F.lit("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"))}, "c_custkey AS k, true AS ok")
+
+# URLs
+_URL = "regexp_extract(url, '^([a-z]+)://([^/?#]*)([^?#]*)(\\?([^#]*))?(#.*)?$', {})"
+for _part, _group in (("PROTOCOL", 1), ("HOST", 2), ("PATH", 3)):
+    _project(f"url_{_part.lower()}", "pages", {"p": "page_id", "x": lambda part=_part: nested.url_part(c("url"), part)}, f"page_id AS p, {_URL.format(_group)} AS x")
+_project("url_query", "pages", {"p": "page_id", "x": lambda: nested.url_part(c("url"), "QUERY")}, f"page_id AS p, nullif({_URL.format(5)}, '') AS x")
+_project("url_query_key", "pages", {"p": "page_id", "x": lambda: nested.url_part(c("url"), "QUERY", "ref")}, "page_id AS p, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS x")
+_project("url_query_key_column", "pages", {"p": "page_id", "x": lambda: nested.url_part(c("url"), "QUERY", F.when(c("page_id") % 2 == 0, "ref").otherwise("page"))}, "page_id AS p, nullif(CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '[?&]ref=([^&#]*)', 1) ELSE regexp_extract(url, '[?&]page=([^&#]*)', 1) END, '') AS x")
+
+# Numbers
+_project("multiply_try", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "x": lambda: numbers.multiply(c("l_orderkey"), c("l_partkey")), "big": lambda: numbers.multiply(c("l_orderkey") + F.lit(2**61), F.lit(4).cast("long"))}, "l_orderkey AS k, l_linenumber AS n, l_orderkey * l_partkey AS x, CAST(NULL AS BIGINT) AS big")
+_project("round_half_up", "customer", {"k": "c_custkey", "r": lambda: numbers.round_half_up(c("c_custkey") * 5, -1)}, "c_custkey AS k, ((c_custkey * 5 + 5) // 10) * 10 AS r")
+_project("round_half_even", "customer", {"k": "c_custkey", "r": lambda: numbers.round_half_even(c("c_custkey") / 2, 0)}, "c_custkey AS k, round_even(c_custkey / 2, 0) AS r")
+_DEC = "CAST(l_extendedprice AS DECIMAL(12,2))"
+
+
+def _decimal(op: str) -> Callable[[Load], DataFrame]:
+    a, b = F.expr("CAST(l_extendedprice AS DECIMAL(12,2))"), F.expr("CAST(l_linenumber AS DECIMAL(4,0))")
+    return lambda t: t("lineitem").select("l_orderkey", "l_linenumber", numbers.with_overflow(op, a, b).alias("x")).select(c("l_orderkey").alias("k"), c("l_linenumber").alias("n"), c("x.overflow").alias("o"), F.round(c("x.result").cast("double"), 2).alias("r"))
+
+
+for _op, _sign in (("add", "+"), ("subtract", "-"), ("multiply", "*"), ("remainder", "%")):
+    _add(f"decimal_{_op}", f"SELECT l_orderkey AS k, l_linenumber AS n, false AS o, round(CAST({_DEC} {_sign} CAST(l_linenumber AS DECIMAL(4,0)) AS DOUBLE), 2) AS r FROM lineitem")(lambda t, op=_op: _decimal(op)(t))
+_add("decimal_divide")(lambda t: _decimal("divide")(t))
+_project("decimal_integer_divide", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "q": "CAST(l_extendedprice AS DECIMAL(12,2)) div CAST(l_linenumber AS DECIMAL(4,0))"}, f"l_orderkey AS k, l_linenumber AS n, CAST(trunc(CAST(round({_DEC} * 100) AS BIGINT) // (l_linenumber * 100)) AS BIGINT) AS q")
+
+# Hashes
+_project("hash_murmur3", "customer", {"k": "c_custkey", "h": lambda: catalyst.murmur3(c("c_name"), c("c_custkey")), "s": lambda: catalyst.murmur3(c("c_name"), seed=0)})
+_project("hash_xxhash64", "customer", {"k": "c_custkey", "h": lambda: F.xxhash64("c_name", "c_acctbal")})
+_project("hash_hive", "customer", {"k": "c_custkey", "h": lambda: catalyst.hive_hash(c("c_nationkey"))}, "c_custkey AS k, c_nationkey AS h")
+for _bits in (224, 256, 384, 512):
+    _project(f"hash_sha{_bits}", "customer", {"k": "c_custkey", "h": lambda b=_bits: F.sha2("c_name", b)}, "c_custkey AS k, sha256(c_name) AS h" if _bits == 256 else None)
+
+# JSON
+_project("json_path", "events", {"e": "event_id", "k": lambda: F.get_json_object("props", "$.k")}, "event_id AS e, props ->> '$.k' AS k")
+_project("json_paths", "events", {"e": "event_id", "p": lambda: nested.json_paths(c("props"), ["$.k", "$.none"])["p0"], "q": lambda: nested.json_paths(c("props"), ["$.k", "$.none"])["p1"]}, "event_id AS e, props ->> '$.k' AS p, props ->> '$.none' AS q")
+_project("json_map", "events", {"e": "event_id", "k": lambda: nested.json_map(c("props"))["k"]}, "event_id AS e, props ->> '$.k' AS k")
+_project("json_struct", "events", {"e": "event_id", "k": lambda: F.from_json("props", "k INT")["k"]}, "event_id AS e, CAST(props ->> '$.k' AS INTEGER) AS k")
+_project("json_remove_quotes", "customer", {"k": "c_custkey", "s": lambda: nested.remove_quotes(F.concat(F.lit('"'), c("c_name"), F.lit('"'))), "b": lambda: nested.remove_quotes(c("c_name"), True)}, "c_custkey AS k, c_name AS s, CAST(NULL AS VARCHAR) AS b")
+
+# Arrays and maps
+_project("array_slice", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), -5, 3)), "y": lambda: nested.slice_list(c("embedding"), F.lit(2), F.lit(1))[0]}, "vec_id AS v, CAST(3 AS INTEGER) AS x, embedding[2] AS y")
+_project("array_slice_unchecked", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), (c("vec_id") % 2).cast("int"), F.lit(4), checked=False))}, "vec_id AS v, CAST(CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 4 END AS INTEGER) AS x")
+_project("map_sort", "nation", {"k": "n_nationkey", "first": lambda: F.map_keys(nested.sort_map(F.create_map(F.lit("b"), c("n_name"), F.lit("a"), c("n_name")), True))[0]}, "n_nationkey AS k, 'b' AS first")
+_project("map_zip", "nation", {"k": "n_nationkey", "x": lambda: nested.zip_maps(F.create_map(F.lit("a"), c("n_nationkey")), F.create_map(F.lit("b"), c("n_regionkey")))["b"]["b"]}, "n_nationkey AS k, n_regionkey AS x")
+
+
+# Rows and exchange
+@_add("row_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _rows(t: Load) -> DataFrame:
+    """Columns to one packed JSON row and back, by the schema that the reader supplies."""
+    df = t("nation")
+    return df.select(F.from_json(F.to_json(F.struct("*")), df.schema).alias("r")).select("r.*")
+
+
+_add("exchange_hash", "SELECT l_orderkey AS k, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")(lambda t: t("lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").groupBy(c("l_orderkey").alias("k")).agg(F.sum("l_linenumber").alias("s")))
+
+# Time windows
+_add("window_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS u, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2")(
+    lambda t: windows.windowed(t("events").withColumn("ts", c("ts").cast("timestamp")), "ts", "1 hour", by=("event_type",), n=F.count("*")).select(F.unix_micros("start").alias("u"), c("event_type").alias("k"), "n")
+)
+_add("window_sliding")(lambda t: windows.windowed(t("events").withColumn("ts", c("ts").cast("timestamp")), "ts", "1 hour", "30 minutes", n=F.count("*")).select("start", "end", "n"))
+_add("window_session")(lambda t: windows.sessions(t("events").withColumn("ts", c("ts").cast("timestamp")), "ts", "30 minutes", "user_id", n=F.count("*")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Revenue and rank per nation and shipping month."""
+    return _flagship(partial(tables.table, spark, sf_dir))
+
+
+@_add("revenue_by_nation_month", "SELECT n_name AS nation, CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS VARCHAR) AS month, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def _flagship(t: Load) -> DataFrame:
+    rows = t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey")).join(t("customer"), c("o_custkey") == c("c_custkey")).join(t("nation"), c("c_nationkey") == c("n_nationkey"))
+    month = times.truncate_date(F.to_date("l_shipdate"), "MONTH").cast("string")
+    return rows.groupBy(c("n_name").alias("nation"), month.alias("month")).agg(F.round(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 0).alias("revenue"), F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, f=f: f(partial(tables.table, spark, sf_dir)) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
