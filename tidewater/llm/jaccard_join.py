@@ -8,16 +8,17 @@ linked sets agree on some whole part (pigeonhole); sets that agree on a part mee
 block.  The number of parts depends on the size class of the sets; a set takes part in the scheme
 of its own class and of the next one, which covers all size ratios a link allows.
 
-Sieve: each set carries a parity sketch, whose Hamming distance never exceeds the number of
-elements in which two sets differ.  Members of a block that no chain of close sketches connects
-part ways, still without losing a link.
-
-Search: what stays together forms clusters.  A work unit holds at most ``2 * CHUNK`` sets.  Within
-a unit each set queries inverted lists: the longest are set aside, the short ones are merged with
-a heap, and sets that occur often enough are probed in the long lists by binary search
-(DivideSkip), which gives exact overlaps.  A cluster of one unit's size is one unit.  A larger one
-is first searched in linear time, in chunks that share a few hub sets; if that doesn't connect it
-all, every block part whose members are still apart is searched too, every two chunks of it in a unit.
+Sieve: each set has a parity sketch, whose Hamming distance never exceeds the number of elements
+in which two sets differ.  Members of a block that no chain of close sketches connects part ways,
+still without losing a link.
+
+Search: a work unit holds at most ``2 * CHUNK`` sets.  Within a unit each set queries inverted
+lists: the longest are set aside, the short ones are merged with a heap, and sets that occur often
+enough are probed in the long lists by binary search (DivideSkip), which gives exact overlaps.  A
+first round takes the clusters that blocks' first members form with members close to them, a
+large cluster in chunks that share a few hub sets; that is linear work and connects most copies.
+A second round takes every block whose members are still apart, sieved, every two chunks of it in
+a unit, and compares only sets that are not connected yet.
 """
 
 from __future__ import annotations
@@ -314,6 +315,18 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True,
     return links
 
 
+def _close(num: int, den: int):
+    """The pairs whose sketches are close enough for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
+        for batch in batches:
+            keep = [bool(sieve([n, m], [x, y], num, den)) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sieved(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
@@ -396,39 +409,46 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     posted = docs.mapInArrow(_postings(width, num, den), "sig long, node long")
     runs = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs(SIEVE_CHUNK), "sig long, chunk long, large boolean, members array<long>")
     runs = materialise(runs, "runs")
-    large = runs.where("large")
-    other = large.select("sig", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
-    tiles = large.join(other, "sig").where("chunk < chunk2").select(F.concat("members", "members2").alias("members"))
-    blocks = runs.where("not large").select("members").union(tiles).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-    sketches = ids.where("doc_id is not null and n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
-    rows = blocks.join(sketches, "node").select("unit", "node", "n", "sketch").repartition("unit").sortWithinPartitions("unit")
-    groups = materialise(rows.mapInArrow(_sieved(num, den), "members array<long>").distinct(), "groups")
     free_shuffles(docs.sparkSession)
-
-    cluster = connected_components(groups.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")))
-    cluster = cluster.withColumnRenamed("component", "unit")
-    size = cluster.groupBy("unit").agg(F.count("*").alias("size"))
-    cluster = materialise(cluster.join(size, "unit"), "cluster")
-    wanted = materialise(classes.join(cluster.select(F.col("node").alias("h1")), "h1", "left_semi").select(F.col("rep").alias("doc_id")), "wanted")
-    # A repeated doc_id has a set for each of its texts; only those whose node is asked for meet a unit.
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
+    sketches = ids.where("doc_id is not null and n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
 
     def search(units: DataFrame) -> DataFrame:
+        wanted = classes.join(units.select(F.col("node").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id"))
+        # A repeated doc_id has a set for each of its texts; only those whose node is asked for meet a unit.
+        sets = docs.join(materialise(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
         rows = units.join(sets, "node").select("unit", "doc_id", "part", "shingles").repartition("unit").sortWithinPartitions("unit")
         return materialise(rows.mapInArrow(_units(num, den, True), "a long, b long").where("a <> b").distinct(), "links")
 
+    # First what is close to the first member of a block that it is in: copies of one text mostly connect here.
+    pairs = runs.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
+    one, two = (sketches.select(*(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "sketch"))) for i in (1, 2))
+    close = pairs.join(one, pairs.a == one.node1).join(two, F.col("b") == two.node2).select("a", "b", "n1", "sketch1", "n2", "sketch2")
+    cluster = connected_components(close.mapInArrow(_close(num, den), "a long, b long"))
+    cluster = cluster.withColumnRenamed("component", "unit")
+    size = cluster.groupBy("unit").agg(F.count("*").alias("size"))
+    cluster = materialise(cluster.join(size, "unit"), "cluster")
     big = cluster.where(F.col("size") > 2 * CHUNK)
-    links = search(cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big)).withColumn("part", F.lit(None).cast("long")))
-    if big.limit(1).count():
-        node_of = classes.select(F.col("rep"), F.col("h1").alias("node"))
-        found = links.join(node_of.select(F.col("rep").alias("a"), F.col("node").alias("u")), "a").join(node_of.select(F.col("rep").alias("b"), F.col("node").alias("v")), "b")
-        part = connected_components(found, "u", "v")
-        within = big.select("node").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-        held = groups.select(F.xxhash64("members").alias("g"), "members", F.explode("members").alias("node")).join(within, "node")
-        apart = held.groupBy("g").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("g")
-        again = groups.withColumn("g", F.xxhash64("members")).join(apart, "g", "left_semi")
-        units = _chunked(again, "members", CHUNK).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-        links = links.union(search(units.join(within, "node")))
+    units = cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big))
+    links = search(materialise(units.withColumn("part", F.lit(None).cast("long")), "units"))
+    free_shuffles(docs.sparkSession)
+
+    # Then every block whose members are not all connected by now, in full.
+    node_of = classes.select("rep", F.col("h1").alias("node"))
+    found = links.join(node_of.select(F.col("rep").alias("a"), F.col("node").alias("u")), "a").join(node_of.select(F.col("rep").alias("b"), F.col("node").alias("v")), "b")
+    part = connected_components(found, "u", "v").withColumnRenamed("component", "part")
+    held = runs.select("sig", F.explode("members").alias("node")).join(part, "node", "left").select("sig", F.coalesce("part", "node").alias("part"))
+    apart = held.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
+    rest = materialise(runs.join(apart, "sig", "left_semi"), "rest")
+    large = rest.where("large")
+    other = large.select("sig", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
+    tiles = large.join(other, "sig").where("chunk < chunk2").select(F.concat("members", "members2").alias("members"))
+    blocks = rest.where("not large").select("members").union(tiles).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
+    rows = blocks.join(sketches, "node").select("unit", "node", "n", "sketch").repartition("unit").sortWithinPartitions("unit")
+    groups = materialise(rows.mapInArrow(_sieved(num, den), "members array<long>").distinct(), "groups")
+    units = _chunked(groups, "members", CHUNK).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
+    units = units.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = units.groupBy("unit").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("unit")
+    links = links.union(search(materialise(units.join(mixed, "unit", "left_semi"), "units")))
     reps = ids.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"))
     return reps, links
 
