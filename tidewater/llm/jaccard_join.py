@@ -445,10 +445,14 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     blocks = rest.where("not large").select("members").union(tiles).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
     rows = blocks.join(sketches, "node").select("unit", "node", "n", "sketch").repartition("unit").sortWithinPartitions("unit")
     groups = materialise(rows.mapInArrow(_sieved(num, den), "members array<long>").distinct(), "groups")
-    units = _chunked(groups, "members", CHUNK).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-    units = units.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = units.groupBy("unit").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("unit")
-    links = links.union(search(materialise(units.join(mixed, "unit", "left_semi"), "units")))
+    # Members in order of their parts (a group has at most 2 * SIEVE_CHUNK), so most chunks hold one part and few pairs of chunks are mixed.
+    member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(part, "node", "left")
+    ordered = member.groupBy("g").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("part", "node").alias("part"), "node"))).alias("members"))
+    parts = F.transform("members", lambda m: m.part)
+    mixed = F.array_min(parts) != F.array_max(parts)
+    tiles = _chunked(ordered.where(mixed), "members", CHUNK).where(mixed).distinct()
+    units = tiles.select(F.xxhash64("members").alias("unit"), F.explode("members").alias("m")).select("unit", "m.node", "m.part")
+    links = links.union(search(materialise(units, "units")))
     reps = ids.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"))
     return reps, links
 
