@@ -90,7 +90,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = (1 << 20) - 4096) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about ``most`` text bytes, so that kernels use bounded memory (a longer row goes alone)."""
     if batch.num_rows == 0:
         return

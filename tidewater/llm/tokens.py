@@ -10,9 +10,9 @@ from tidewater.llm.common import caches
 from tidewater.llm.kernels import BYTES, U, range_hash
 
 #: Distinct pieces of text a worker remembers before it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 #: Bytes of text encoded at a time.
-SLICE = 2 << 20
+SLICE = (1 << 20) - 4096
 #: White space outside ASCII, as UTF-8 (fixed values of Unicode).
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
