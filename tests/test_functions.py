@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions import casts, catalyst, layout, nested, numbers, times
 from tidewater.operators import aggregates, joins
@@ -126,3 +127,83 @@ def test_schema_and_stream(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.sql("SELECT * FROM w").collect()))
     assert got == sorted(map(tuple, windows.windowed(events, "ts", "1 hour", n=F.count("*")).collect())) and len(got) == 17
+
+
+def test_bloom_with_chosen_hashes(spark):
+    df = spark.createDataFrame([(i * 977,) for i in range(300)] + [(None,), (-5,)], "x long")
+    words = aggregates.bloom_words(df, F.col("x"), 3, 8000)
+    probe = spark.range(20000).select((F.col("id") - 10).alias("x"))
+    hits = {r.x for r in probe.where(aggregates.bloom_probe(words, F.col("x"), 3, 8000)).collect()}
+    members = {i * 977 for i in range(300) if i * 977 < 19990} | {-5}
+    assert members <= hits and len(hits) < 400
+    assert df.where("x is null").select(aggregates.bloom_probe(words, F.col("x"), 3, 8000).alias("h")).first().h is None
+    empty = aggregates.bloom_words(df.where("x > 1e9"), F.col("x"), 3, 8000)
+    assert probe.where(aggregates.bloom_probe(empty, F.col("x"), 3, 8000)).count() == 0
+    with pytest.raises(ValueError):
+        aggregates.bloom_words(df, F.col("x"), 0, 64)
+
+
+def test_histogram_frequencies(spark):
+    rows = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), ("a", 2, 0), ("b", 7, 0)], "g string, v int, n long")
+    assert [(r.g, [tuple(h) for h in r.histogram]) for r in aggregates.histogram(rows, ["g"], "v", "n").collect()] == [("a", [(1, 5)])]
+    for bad in (-1, None):
+        with pytest.raises(Exception, match="frequency"):
+            aggregates.histogram(spark.createDataFrame([("a", 1, bad)], rows.schema), ["g"], "v", "n").collect()
+
+
+def test_modes_and_bases(spark):
+    assert one(spark, numbers.multiply(F.lit(2**62), F.lit(6).cast("long"), "wrap")) == -(2**63)
+    assert one(spark, numbers.multiply(F.lit(-(2**63)), F.lit(-(2**63)), "wrap")) == 0
+    with pytest.raises(ValueError):
+        numbers.multiply(F.lit(1), F.lit(1), "other")
+    assert one(spark, casts.convert_base(F.lit("-15"), 10, F.lit(16))) == "FFFFFFFFFFFFFFF1"
+    assert one(spark, casts.float_to_decimal(F.col("x"), 3, 1), x=1234.5) is None
+    with pytest.raises(Exception, match="cannot cast"):
+        one(spark, casts.float_to_decimal(F.col("x"), 3, 1, "ansi"), x=1234.5)
+
+
+@pytest.mark.parametrize("value,width,scale,want", [("10.65", 50, 2, "10.50"), ("-0.01", 50, 2, "-0.50"), ("1.00", 1, 2, "1.00")])
+def test_truncate_decimal(spark, value, width, scale, want):
+    assert str(one(spark, times.truncate_number(F.lit(value).cast("decimal(9,2)"), width, scale))) == want
+
+
+def test_micros_and_zones(spark):
+    day = 86_400_000_000
+    assert one(spark, times.gregorian_to_julian_micros(F.lit(-719162 * day + 5))) == -719164 * day + 5
+    assert one(spark, times.gregorian_to_julian_micros(F.lit(-141427 * day - 1))) == -141427 * day + day - 1  # a skipped day
+    assert one(spark, times.julian_to_gregorian_micros(F.lit(-719164 * day - 1))) == -719162 * day - 1
+    assert one(spark, times.gregorian_to_julian_micros(F.lit(7))) == 7
+    assert [catalyst.zone_supported(z) for z in ("UTC", "+5:30", "Asia/Tokyo", "PST", "+19:00", "Nowhere/At_All")] == [True, True, True, True, False, False]
+    assert catalyst.zone_has_dst("Europe/Paris") and not catalyst.zone_has_dst("Asia/Tokyo")
+
+
+def test_typed(spark):
+    kind = T.StructType.fromDDL("a int, b struct<c: array<double>>, m map<string,date>")
+    col = F.from_json(F.lit('{"a": "x", "b": {"c": ["1.5", "q"]}, "m": {"k": "2020-02-30"}}'), "a string, b struct<c: array<string>>, m map<string,string>")
+    assert one(spark, nested.typed(col, kind)).asDict(True) == {"a": None, "b": {"c": [1.5, None]}, "m": {"k": None}}
+
+
+@pytest.mark.parametrize("kind", ["csv", "json", "orc", "parquet"])
+def test_formats(spark, tmp_path, kind):
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", None), (3, None, 2.5)], "k long, s string, x double")
+    tables.write_format(df, str(tmp_path / "t"), kind)
+    assert sorted(tables.read_format(spark, str(tmp_path / "t"), kind, df.schema).collect(), key=str) == sorted(df.collect(), key=str)
+    tables.write_format(df, str(tmp_path / "by"), kind, ("k",))
+    assert sorted(p.name for p in (tmp_path / "by").iterdir() if p.is_dir()) == ["k=1", "k=2", "k=3"]
+
+
+def test_nested_pruning(spark, tmp_path):
+    """Only the asked leaf of a struct is read."""
+    spark.sql("SELECT named_struct('a', 1, 'b', 'x') AS s, 2 AS y").write.parquet(str(tmp_path / "n"))
+    df = tables.read_parquet(spark, str(tmp_path / "n")).select("s.a")
+    assert "ReadSchema: struct<s:struct<a:int>>" in df._jdf.queryExecution().toString().replace("\n", "") and df.first().a == 1
+
+
+def test_stream_deduplicates(spark, tmp_path):
+    events = spark.range(40).select((F.col("id") * 10).cast("timestamp").alias("ts"), (F.col("id") % 4).alias("u"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = windows.deduplicated(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "ts", ("u",))
+    q = stream.writeStream.format("memory").queryName("once").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.u for r in spark.sql("SELECT u FROM once").collect()) == [0, 1, 2, 3]

@@ -62,6 +62,16 @@ def from_base(col: Column, base: int) -> Column:
     return F.when(digits != "", F.conv(digits, base, -10).try_cast("long"))
 
 
+def convert_base(col: Column, source: Column | int, target: Column | int) -> Column:
+    """Text of a number in base ``source`` as text in base ``target``, unsigned 64-bit; bases may vary by row."""
+    return F.call_function("conv", col, *(x if isinstance(x, Column) else F.lit(x) for x in (source, target)))
+
+
+def float_to_decimal(col: Column, precision: int, scale: int, mode: str = "try") -> Column:
+    """Decimal of a float or double, rounded half up; what doesn't fit gives null or fails."""
+    return _cast(col, f"decimal({precision},{scale})", mode)
+
+
 def conv_overflows(col: Column, base: int) -> Column:
     """True where the text's leading digits in ``base`` (2 to 36) exceed 64 unsigned bits."""
     if not 2 <= base <= 36:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import DateTimeException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,17 @@ def bloom_filter_agg(col: Column, items: int, bits: int) -> Column:
 
 def might_contain(bloom: Column, value: Column) -> Column:
     return _column(_jvm().org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(_expression(bloom), _expression(value)))
+
+
+def zone_supported(zone: str) -> bool:
+    """Whether Spark reads a text as a time zone: an offset, a short id or a region."""
+    try:
+        _jvm().org.apache.spark.sql.catalyst.util.DateTimeUtils.getZoneId(zone)
+    except DateTimeException:
+        return False
+    return True
+
+
+def zone_has_dst(zone: str) -> bool:
+    """Whether a zone changes its offset every year, now and in future."""
+    return not _jvm().org.apache.spark.sql.catalyst.util.DateTimeUtils.getZoneId(zone).getRules().getTransitionRules().isEmpty()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_paths(col: Column, paths: Sequence[str]) -> Column:
@@ -20,6 +21,17 @@ def json_map(col: Column) -> Column:
     return F.from_json(col, "map<string,string>", {"allowSingleQuotes": "true"})
 
 
+def typed(col: Column, kind: T.DataType) -> Column:
+    """A value of strings (also in structs, arrays and map values) as ``kind``; what can't be cast is null."""
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*(typed(col[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: typed(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, x: typed(x, kind.valueType))
+    return col.try_cast(kind)
+
+
 def remove_quotes(col: Column, null_if_bare: bool = False) -> Column:
     """The text within one pair of double quotes; other texts stay, or become null."""
     quoted = (F.length(col) > 1) & col.startswith('"') & col.endswith('"')

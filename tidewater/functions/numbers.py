@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 
 def multiply(a: Column, b: Column, mode: str = "try") -> Column:
-    """Product; on overflow ``try`` gives null and ``ansi`` fails."""
+    """Product; on overflow ``try`` gives null, ``ansi`` fails and ``wrap`` (longs) keeps the low 64 bits."""
+    if mode == "wrap":
+        whole = F.lit(str(2**64)).cast("decimal(20,0)")
+        low = F.pmod(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), whole)
+        return F.when(low >= F.lit(str(2**63)).cast("decimal(20,0)"), low - whole).otherwise(low).cast("long")
     out = F.try_multiply(a, b)
     if mode == "try":
         return out
     if mode != "ansi":
-        raise ValueError("mode must be try or ansi")
+        raise ValueError("mode must be try, ansi or wrap")
     return F.when(a.isNotNull() & b.isNotNull() & out.isNull(), F.raise_error(F.lit("overflow in multiplication"))).otherwise(out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,14 +52,15 @@ def days(col: Column) -> Column:
 def hours(col: Column) -> Column:
     """Hours since 1970 of a timestamp, rounded down in integer arithmetic."""
     micros = F.unix_micros(col)
-    return ((micros - F.pmod(micros, F.lit(3_600_000_000))) / 3_600_000_000).cast("int")
+    return _div(micros, 3_600_000_000).cast("int")
 
 
-def truncate_number(col: Column, width: int) -> Column:
-    """An integer or decimal rounded down to a multiple of ``width`` (of its last digit, for decimals)."""
-    if width <= 0:
-        raise ValueError("width must be positive")
-    return col - F.pmod(col, F.lit(width))
+def truncate_number(col: Column, width: int, scale: int = 0) -> Column:
+    """An integer rounded down to a multiple of ``width``, or a decimal to a multiple of ``width`` units of its last
+    digit; ``scale`` is the decimal's scale."""
+    if width <= 0 or scale < 0:
+        raise ValueError("width must be positive and scale not negative")
+    return col - F.pmod(col, F.lit(Decimal(width).scaleb(-scale)) if scale else F.lit(width))
 
 
 def truncate_text(col: Column, width: int) -> Column:
@@ -68,7 +71,7 @@ def truncate_text(col: Column, width: int) -> Column:
 
 
 def _div(a: Column, b: int) -> Column:
-    return ((a - F.pmod(a, F.lit(b))) / b).cast("long")
+    return F.round((a - F.pmod(a, F.lit(b))) / b).cast("long")
 
 
 def _julian_day(year: Column, month: Column, day: Column) -> Column:
@@ -97,3 +100,21 @@ def julian_to_gregorian_days(col: Column) -> Column:
     month = F.pmod(m + 2, F.lit(12)) + 1
     year = y + F.when(month <= 2, 1).otherwise(0)
     return F.when(col >= CUTOVER, col.cast("long")).otherwise(F.unix_date(F.make_date(year.cast("int"), month.cast("int"), F.lit(1))).cast("long") + day - 1)
+
+
+_DAY = 86_400_000_000
+
+
+def _by_day(col: Column, rebase) -> Column:
+    day = _div(col, _DAY)
+    return col + (rebase(day) - day) * _DAY
+
+
+def gregorian_to_julian_micros(col: Column) -> Column:
+    """Microseconds (UTC) moved as their day is; the time of day stays."""
+    return _by_day(col, gregorian_to_julian_days)
+
+
+def julian_to_gregorian_micros(col: Column) -> Column:
+    """Microseconds (UTC) moved as their day is; the time of day stays."""
+    return _by_day(col, julian_to_gregorian_days)

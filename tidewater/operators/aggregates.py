@@ -7,11 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import catalyst
+
+#: Most bits of a Bloom filter with a chosen number of hashes: its words become one array of 1 MB at most.
+BLOOM_BITS = 1 << 23
+
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str, freq: str | None = None) -> DataFrame:
-    """Per group the array of (value, freq); counted in two steps so only distinct values are gathered."""
-    n = F.count("*") if freq is None else F.sum(freq)
-    counts = df.groupBy(*groups, value).agg(n.alias("freq"))
+    """Per group the array of (value, freq); counted in two steps so only distinct values are gathered.
+
+    A null or negative ``freq`` fails the query; values whose frequencies sum to 0 are left out.
+    """
+    if freq is None:
+        n = F.count("*")
+    else:
+        bad = F.col(freq).isNull() | (F.col(freq) < 0)
+        n = F.sum(F.when(bad, F.raise_error(F.lit("a frequency must not be null or negative")).cast("long")).otherwise(F.col(freq)))
+    counts = df.groupBy(*groups, value).agg(n.alias("freq")).where("freq > 0")
     return counts.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "freq"))).alias("histogram"))
 
 
@@ -31,6 +43,14 @@ def hll_registers(df: DataFrame, groups: Sequence[str], value: str, precision: i
     return df.where(F.col(value).isNotNull()).groupBy(*groups, index.alias("index")).agg(F.max(rank).alias("rank"))
 
 
+def hll_merge(first: DataFrame, *others: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Registers of the union of what several sketches of one precision saw."""
+    out = first
+    for other in others:
+        out = out.unionByName(other)
+    return out.groupBy(*groups, "index").agg(F.max("rank").alias("rank"))
+
+
 def hll_estimate(registers: DataFrame, groups: Sequence[str], precision: int = 9) -> DataFrame:
     """Estimated distinct count per group from registers, with linear counting for small sets."""
     m = 1 << precision
@@ -40,3 +60,45 @@ def hll_estimate(registers: DataFrame, groups: Sequence[str], precision: int = 9
     empty = F.lit(m) - F.count("*")
     est = F.when((raw <= 2.5 * m) & (empty > 0), F.lit(float(m)) * F.log(F.lit(float(m)) / empty)).otherwise(raw)
     return registers.groupBy(*groups).agg(F.round(est).cast("long").alias("estimate"))
+
+
+def _bloom_positions(col: Column, hashes: int, bits: int) -> Column:
+    """The bits of a long: double hashing, the second hash seeded by the first, which chaining the column twice gives."""
+    one, two = catalyst.murmur3(col, seed=0).cast("long"), catalyst.murmur3(col, col, seed=0).cast("long")
+
+    def position(i: Column) -> Column:
+        low = (one + i * two).bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.when(low >= 2**31, F.lit(0xFFFFFFFF) - low).otherwise(low) % bits
+
+    return F.transform(F.sequence(F.lit(1).cast("long"), F.lit(hashes).cast("long")), position)
+
+
+def bloom_words(df: DataFrame, col: Column, hashes: int, bits: int) -> DataFrame:
+    """Bloom filter of a bigint column with a chosen number of hashes, as its non-zero 64-bit words (word, bits).
+
+    Nulls are skipped; ``bits`` is rounded up to a multiple of 64 and at most ``BLOOM_BITS``.
+    """
+    if hashes < 1 or not 0 < bits <= BLOOM_BITS:
+        raise ValueError(f"hashes must be positive and bits 1 to {BLOOM_BITS}")
+    at = df.where(col.isNotNull()).select(F.explode(_bloom_positions(col, hashes, -(-bits // 64) * 64)).alias("p"))
+    return at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+
+
+def bloom_merge(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Words of the union of what several filters with the same hashes and bits hold."""
+    out = first
+    for other in others:
+        out = out.unionByName(other)
+    return out.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def bloom_probe(words: DataFrame, col: Column, hashes: int, bits: int) -> Column:
+    """Whether a filter may hold a value (null for null); the filter becomes one array of ``bits`` bits."""
+    n = -(-bits // 64)
+    dense = words.sparkSession.range(n).select(F.col("id").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    array = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("words")).scalar()
+    hit = lambda p: F.call_function("shiftright", F.get(array, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    at, out = _bloom_positions(col, hashes, n * 64), col.isNotNull()
+    for i in range(hashes):
+        out = out & hit(F.get(at, i))
+    return F.when(col.isNotNull(), out)

@@ -10,6 +10,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions import casts, catalyst, layout, nested, numbers, times
 from tidewater.operators import aggregates, joins
@@ -95,6 +96,10 @@ _add("join_empty_side", "SELECT count(*) AS n FROM orders LEFT JOIN (SELECT * FR
     lambda t: joins.join(t("orders"), t("customer").where("c_custkey < 0"), [("o_custkey", "c_custkey")], "left").agg(F.count("*").alias("n"))
 )
 
+_add("join_residual_inner", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice > o_totalprice / 2")(
+    lambda t: joins.join(o := t("orders"), li := t("lineitem"), [("o_orderkey", "l_orderkey")], residual=li["l_extendedprice"] > o["o_totalprice"] / 2).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+)
+
 # Aggregates, windows, sorts and set operations
 _project("chunk_int64", "lineitem", {"low": lambda: numbers.low_chunk(c("l_orderkey") * 7919171717), "high": lambda: numbers.high_chunk(c("l_orderkey") * 7919171717)}, "(l_orderkey * 7919171717) & 4294967295 AS low, (l_orderkey * 7919171717) >> 32 AS high")
 _add("sum_with_overflow", "SELECT l_returnflag AS f, sum(l_orderkey * 1000000)::BIGINT AS s, false AS o FROM lineitem GROUP BY 1")(
@@ -136,6 +141,45 @@ _add("set_operations", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s
     lambda t: t("customer").select(c("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey")).subtract(t("nation").where("n_regionkey = 0").select("n_nationkey"))
 )
 
+_add("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")(
+    lambda t: t("lineitem").groupingSets([[c("l_returnflag")], [c("l_linestatus")], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+)
+_add("histogram_weighted", "SELECT l_returnflag AS f, l_linenumber AS value, sum(l_quantity)::BIGINT AS freq FROM lineitem GROUP BY ALL")(
+    lambda t: aggregates.histogram(t("lineitem").withColumn("q", c("l_quantity").cast("long")), ["l_returnflag"], "l_linenumber", "q").select(c("l_returnflag").alias("f"), F.explode("histogram").alias("h")).select("f", "h.value", "h.freq")
+)
+
+
+@_add("hll_merge", "SELECT DISTINCT l_returnflag AS f, true AS same FROM lineitem")
+def _hll_merge(t: Load) -> DataFrame:
+    """The sketches of two halves merge into the sketch of the whole."""
+    part = lambda w: aggregates.hll_registers(t("lineitem").where(w), ["l_returnflag"], "l_partkey", 10)
+    merged = aggregates.hll_estimate(aggregates.hll_merge(part("l_orderkey % 2 = 0"), part("l_orderkey % 2 = 1"), groups=["l_returnflag"]), ["l_returnflag"], 10)
+    whole = aggregates.hll_estimate(part("true"), ["l_returnflag"], 10).withColumnRenamed("estimate", "all")
+    return merged.join(whole, "l_returnflag").select(c("l_returnflag").alias("f"), (c("estimate") == c("all")).alias("same"))
+
+
+@_add("bloom_fixed_hashes", "SELECT count(*) AS members, CAST(0 AS BIGINT) AS missed FROM orders")
+def _bloom_fixed(t: Load) -> DataFrame:
+    """A filter with three hashes, merged of two halves, misses no member."""
+    part = lambda i: aggregates.bloom_words(t("orders").where(c("o_orderkey") % 2 == i), c("o_orderkey"), 3, 1 << 20)
+    hit = aggregates.bloom_probe(aggregates.bloom_merge(part(0), part(1)), c("o_orderkey"), 3, 1 << 20)
+    return t("orders").select(hit.alias("hit")).agg(F.count("*").alias("members"), F.count_if(~c("hit")).alias("missed"))
+
+
+_add("window_functions", "SELECT event_id AS e, rank() OVER w AS r, dense_rank() OVER w AS d, ntile(4) OVER u AS q, lead(event_id) OVER u AS after, first_value(event_id) OVER u AS first, nth_value(event_id, 2) OVER u AS second, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS cd FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_type), u AS (PARTITION BY user_id ORDER BY ts, event_id)")(
+    lambda t: t("events").select(c("event_id").alias("e"), *(f.over(Window.partitionBy("user_id").orderBy("event_type")).cast(k).alias(n) for n, f, k in (("r", F.rank(), "long"), ("d", F.dense_rank(), "long"))), F.ntile(4).over(u := Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("q"), F.lead("event_id").over(u).alias("after"), F.first("event_id").over(u).alias("first"), F.nth_value("event_id", 2).over(u).alias("second"), *(F.round(f.over(Window.partitionBy("user_id").orderBy("event_type")), 9).alias(n) for n, f in (("p", F.percent_rank()), ("cd", F.cume_dist()))))
+)
+_add("window_rows_frame", "SELECT event_id AS e, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)::BIGINT AS s FROM events")(
+    lambda t: t("events").select(c("event_id").alias("e"), F.sum("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 1)).alias("s"))
+)
+_add("window_range_frame", "SELECT l_orderkey AS k, l_linenumber AS n, sum(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)::BIGINT AS s FROM lineitem")(
+    lambda t: t("lineitem").select(c("l_orderkey").alias("k"), c("l_linenumber").alias("n"), F.sum("l_linenumber").over(Window.partitionBy("l_suppkey").orderBy("l_orderkey").rangeBetween(-500, 0)).alias("s"))
+)
+for _name, _op in (("union", "unionByName"), ("intersect", "intersectAll"), ("except", "exceptAll")):
+    _add(f"set_{_name}_all", f"SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer {_name.upper()} ALL SELECT s_nationkey FROM supplier) GROUP BY k")(
+        lambda t, op=_op: getattr(t("customer").select(c("c_nationkey").alias("k")), op)(t("supplier").select(c("s_nationkey").alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
+    )
+
 # Layout
 _project("interleave_bits", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "z": lambda: F.hex(layout.interleave_bits([c("l_linenumber"), c("l_suppkey").cast("int")]))})
 _project("interleave_bits_8", "part", {"k": "p_partkey", "z": lambda: F.conv(F.hex(layout.interleave_bits([c("p_size"), c("p_partkey") % 256], 8)), 16, 10).cast("long")}, "p_partkey AS k, " + " + ".join(f"(((p_size >> {b}) & 1) << {2 * b + 1}) + ((((p_partkey % 256) >> {b}) & 1) << {2 * b})" for b in range(8)) + " AS z")
@@ -160,7 +204,13 @@ _project("partition_hours", "events", {"e": "event_id", "h": lambda: times.hours
 _project("partition_truncate_number", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "t": lambda: times.truncate_number(3 - c("l_orderkey"), 100)}, "l_orderkey AS k, l_linenumber AS n, (3 - l_orderkey) - ((((3 - l_orderkey) % 100) + 100) % 100) AS t")
 _project("partition_truncate_text", "part", {"k": "p_partkey", "t": lambda: times.truncate_text(c("p_name"), 4)}, "p_partkey AS k, left(p_name, 4) AS t")
 
+_project("partition_truncate_decimal", "customer", {"k": "c_custkey", "t": lambda: (times.truncate_number(c("c_acctbal").cast("decimal(12,2)"), 50, 2) * 100).cast("long")}, "c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) - ((CAST(round(c_acctbal * 100) AS BIGINT) % 50) + 50) % 50 AS t")
+_project("rebase_micros_round_trip", "orders", {"k": "o_orderkey", "same": lambda: times.gregorian_to_julian_micros(times.julian_to_gregorian_micros(-c("o_orderkey") * 7_000_000_007 - 12_219_292_800_000_001)) == -c("o_orderkey") * 7_000_000_007 - 12_219_292_800_000_001}, "o_orderkey AS k, true AS same")
+
 # Casts and strings
+_project("cast_float_to_decimal", "customer", {"k": "c_custkey", "d": lambda: casts.float_to_decimal(c("c_custkey") / 8, 9, 3).cast("string")}, "c_custkey AS k, CAST(CAST(c_custkey / 8 AS DECIMAL(9,3)) AS VARCHAR) AS d")
+_project("conv_base_columns", "orders", {"k": "o_orderkey", "v": lambda: casts.convert_base(c("o_orderkey").cast("string"), 10, F.when(c("o_orderkey") % 2 == 0, 2).otherwise(16))}, "o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN bin(o_orderkey) ELSE hex(o_orderkey) END AS v")
+_project("strings", "customer", {"k": "c_custkey", "u": "upper(c_name)", "l": "lower(c_name)", "p": "lpad(c_custkey, 8, '*')", "s": "split_part(c_name, '#', 2)", "x": "regexp_extract(c_name, '([0-9]+)', 1)", "r": "regexp_replace(c_name, '0+', '-')"}, "c_custkey AS k, upper(c_name) AS u, lower(c_name) AS l, lpad(CAST(c_custkey AS VARCHAR), 8, '*') AS p, split_part(c_name, '#', 2) AS s, regexp_extract(c_name, '([0-9]+)', 1) AS x, regexp_replace(c_name, '0+', '-', 'g') AS r")
 _project("cast_string_to_int", "events", {"e": "event_id", "i": lambda: casts.to_integer(F.concat(F.lit(" "), c("value").cast("string")))}, "event_id AS e, CAST(trunc(value) AS INTEGER) AS i")
 _project("cast_string_no_strip", "events", {"e": "event_id", "i": lambda: casts.to_integer(F.concat(F.when(c("event_id") % 2 == 0, " ").otherwise(""), c("user_id").cast("string")), strip=False)}, "event_id AS e, CASE WHEN event_id % 2 = 1 THEN CAST(user_id AS INTEGER) END AS i")
 _project("cast_string_to_decimal", "events", {"e": "event_id", "d": lambda: casts.to_decimal(c("value").cast("string"), 12, 1).cast("string")}, "event_id AS e, CAST(CAST(CAST(value AS VARCHAR) AS DECIMAL(12,1)) AS VARCHAR) AS d")
@@ -188,6 +238,7 @@ _project("url_query_key", "pages", {"p": "page_id", "x": lambda: nested.url_part
 _project("url_query_key_column", "pages", {"p": "page_id", "x": lambda: nested.url_part(c("url"), "QUERY", F.when(c("page_id") % 2 == 0, "ref").otherwise("page"))}, "page_id AS p, nullif(CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '[?&]ref=([^&#]*)', 1) ELSE regexp_extract(url, '[?&]page=([^&#]*)', 1) END, '') AS x")
 
 # Numbers
+_project("multiply_wrap", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "x": lambda: numbers.multiply(c("l_orderkey"), F.lit(6148914691236517205), "wrap")}, "l_orderkey AS k, l_linenumber AS n, CAST(CASE WHEN (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 >= 9223372036854775808 THEN (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 - 18446744073709551616 ELSE (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 END AS BIGINT) AS x")
 _project("multiply_try", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "x": lambda: numbers.multiply(c("l_orderkey"), c("l_partkey")), "big": lambda: numbers.multiply(c("l_orderkey") + F.lit(2**61), F.lit(4).cast("long"))}, "l_orderkey AS k, l_linenumber AS n, l_orderkey * l_partkey AS x, CAST(NULL AS BIGINT) AS big")
 _project("round_half_up", "customer", {"k": "c_custkey", "r": lambda: numbers.round_half_up(c("c_custkey") * 5, -1)}, "c_custkey AS k, ((c_custkey * 5 + 5) // 10) * 10 AS r")
 _project("round_half_even", "customer", {"k": "c_custkey", "r": lambda: numbers.round_half_even(c("c_custkey") / 2, 0)}, "c_custkey AS k, round_even(c_custkey / 2, 0) AS r")
@@ -218,6 +269,10 @@ _project("json_map", "events", {"e": "event_id", "k": lambda: nested.json_map(c(
 _project("json_struct", "events", {"e": "event_id", "k": lambda: F.from_json("props", "k INT")["k"]}, "event_id AS e, CAST(props ->> '$.k' AS INTEGER) AS k")
 _project("json_remove_quotes", "customer", {"k": "c_custkey", "s": lambda: nested.remove_quotes(F.concat(F.lit('"'), c("c_name"), F.lit('"'))), "b": lambda: nested.remove_quotes(c("c_name"), True)}, "c_custkey AS k, c_name AS s, CAST(NULL AS VARCHAR) AS b")
 
+_project("json_wildcard", "events", {"e": "event_id", "x": lambda: F.get_json_object(F.format_string('[{"a":%d},{"b":0},{"a":%d}]', "event_id", "user_id"), "$[*].a")}, "event_id AS e, '[' || event_id || ',' || user_id || ']' AS x")
+_project("json_nested_struct", "events", {"e": "event_id", "x": lambda: F.from_json(F.format_string('{"a":{"b":[1,%d]},"z":0}', "user_id"), "a struct<b:array<bigint>>")["a"]["b"][1]}, "event_id AS e, user_id AS x")
+_project("json_typed", "events", {"e": "event_id", "x": lambda: nested.typed(F.struct(c("user_id").cast("string").alias("u"), c("event_type").alias("v")), T.StructType.fromDDL("u bigint, v int"))["u"], "y": lambda: nested.typed(F.struct(c("event_type").alias("v")), T.StructType.fromDDL("v int"))["v"]}, "event_id AS e, user_id AS x, CAST(NULL AS INTEGER) AS y")
+
 # Arrays and maps
 _project("array_slice", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), -5, 3)), "y": lambda: nested.slice_list(c("embedding"), F.lit(2), F.lit(1))[0]}, "vec_id AS v, CAST(3 AS INTEGER) AS x, embedding[2] AS y")
 _project("array_slice_unchecked", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), (c("vec_id") % 2).cast("int"), F.lit(4), checked=False))}, "vec_id AS v, CAST(CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 4 END AS INTEGER) AS x")
@@ -235,7 +290,10 @@ def _rows(t: Load) -> DataFrame:
 
 _add("exchange_hash", "SELECT l_orderkey AS k, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")(lambda t: t("lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").groupBy(c("l_orderkey").alias("k")).agg(F.sum("l_linenumber").alias("s")))
 
+_add("exchange_range", "SELECT o_orderkey AS k FROM orders")(lambda t: t("orders").select(c("o_orderkey").alias("k")).repartitionByRange(8, "k").sortWithinPartitions("k"))
+
 # Time windows
+_add("deduplicated", "SELECT DISTINCT user_id AS u, event_type AS k FROM events")(lambda t: windows.deduplicated(t("events").withColumn("ts", c("ts").cast("timestamp")), "ts", ("user_id", "event_type")).select(c("user_id").alias("u"), c("event_type").alias("k")))
 _add("window_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS u, event_type AS k, count(*) AS n FROM events GROUP BY 1, 2")(
     lambda t: windows.windowed(t("events").withColumn("ts", c("ts").cast("timestamp")), "ts", "1 hour", by=("event_type",), n=F.count("*")).select(F.unix_micros("start").alias("u"), c("event_type").alias("k"), "n")
 )

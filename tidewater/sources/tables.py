@@ -34,3 +34,15 @@ def flatten_schema(schema: T.DataType, name: str = "") -> list[tuple[str, str]]:
     elif isinstance(schema, T.MapType):
         out += flatten_schema(schema.keyType, join("key")) + flatten_schema(schema.valueType, join("value"))
     return out
+
+
+def read_format(spark: SparkSession, path: str, kind: str, schema: T.StructType | str, **options: str) -> DataFrame:
+    """A table of csv, json, orc, text or another format that Spark reads, with a schema given so that no pass infers one."""
+    return spark.read.format(kind).schema(schema).options(**options).load(path)
+
+
+def write_format(df: DataFrame, path: str, kind: str, by: tuple[str, ...] = (), **options: str) -> None:
+    """Writes a table, in folders by the values of ``by``; rows with equal values are brought together first, so
+    each folder gets few files (AQE splits the large ones)."""
+    dealt = df.hint("rebalance", *by) if by else df
+    dealt.write.format(kind).options(**options).partitionBy(*by).save(path)

@@ -21,3 +21,10 @@ def sessions(events: DataFrame, time: str, gap: str, key: str, late: str = "10 m
         events = events.withWatermark(time, late)
     out = events.groupBy(F.session_window(time, gap).alias("session"), key).agg(*(a.alias(n) for n, a in aggs.items()))
     return out.select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), key, *aggs)
+
+
+def deduplicated(events: DataFrame, time: str, keys: tuple[str, ...], late: str = "10 minutes") -> DataFrame:
+    """One row per key; a stream keeps a key's state until ``late`` behind the newest row."""
+    if events.isStreaming:
+        return events.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return events.dropDuplicates(list(keys))
