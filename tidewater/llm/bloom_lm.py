@@ -32,7 +32,7 @@ BITS, HASHES = 10, 5
 MOST_BYTES = 192 << 20
 MU = 30.0
 #: Bytes of text in a chunk, and entries in a bucket of words or pairs.
-CHUNK, BUCKET = 6 << 20, 1 << 19
+CHUNK, BUCKET = 2 << 20, 1 << 19
 #: Bits of a pair's key.
 KEY = 52
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)  # stand-ins for the hashes of the end and of the start
