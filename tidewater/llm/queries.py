@@ -12,7 +12,7 @@ from tidewater.llm.bloom_lm import score_texts
 from tidewater.llm.decontaminate import contained_items
 from tidewater.llm.jaccard_join import jaccard_components
 from tidewater.llm.packing import pack
-from tidewater.llm.span_dedup import span_dedup
+from tidewater.llm.span_dedup import LEAST, span_dedup
 from tidewater.llm.sstable import shard_digests
 from tidewater.llm.url_filter import Rule, url_filter
 from tidewater.llm.voronoi_knn import top_k
@@ -42,7 +42,7 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the sentences that a repeated span of sentences covers, the first occurrence excepted."""
-    return span_dedup(table(spark, sf_dir, "documents"))
+    return span_dedup(table(spark, sf_dir, "documents"), least=LEAST)
 
 
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``run`` consecutive sentences is hashed to 128 bits; a shorter run counts too once it
-holds ``long_words`` words, so a long passage without full stops is also a span.  Spans meet
-globally by hash; the first occurrence (smallest doc_id, then position) stays, and every sentence that
-a later occurrence covers is removed.
+From every sentence every run of 1, 2, .. sentences that holds as many words as ``least`` asks of its
+length is hashed to 128 bits: the query takes every run of three, and shorter ones once they are long, so a
+long passage without full stops is also a span.  Spans meet globally by hash; the first occurrence
+(smallest doc_id, then position) stays, and every sentence that a later occurrence covers is removed.
 
 A task keeps only its first occurrence of a span for the global comparison, since its later ones
 are known not to be first; so a span that a third of all documents hold reaches its reducer once
@@ -12,7 +12,7 @@ per task.  Later ones travel under a spread-out key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +23,38 @@ from tidewater.llm.common import ids_of, only, slices, text_buffers, texts
 from tidewater.llm.kernels import U, Words, mix, range_hash
 
 _R1, _R2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB  # odd multipliers of the two span hashes
+#: Words that a run of 1, 2, 3 sentences holds at least to be a span of the query.
+LEAST = (40, 40, 0)
 #: Spans a task holds before it passes them on.
 HELD = 1 << 20
 
 
-def spans_of(words: Words, run: int, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spans_of(words: Words, run: int, long_words: int, least: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first sentence, sentences, hash, hash) of every span of a slice's documents."""
     start, end, of = words.sentences()
     doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
     first = np.arange(len(start))
     last = of[1:][doc] if len(doc) else first
-    size = np.full(len(start), run)
-    for k in range(run - 1, 0, -1):
-        to = np.minimum(first + k, last)
-        size[end[to - 1] - start >= long_words] = k
-    good = first + size <= last
-    first, size, doc = first[good], size[good], doc[good]
+    if least is None:
+        size = np.full(len(start), run)
+        for k in range(run - 1, 0, -1):
+            to = np.minimum(first + k, last)
+            size[end[to - 1] - start >= long_words] = k
+        good = first + size <= last
+        first, size, doc = first[good], size[good], doc[good]
+    else:
+        found = []
+        for k, bound in enumerate(least, 1):
+            at = np.flatnonzero(first + k <= last)
+            found.append(at[end[at + k - 1] - start[at] >= bound])
+        size = np.repeat(np.arange(1, len(found) + 1), [len(at) for at in found])
+        first = np.concatenate(found)
+        doc = doc[first]
     a, b = start[first], end[first + size - 1]
     return doc, first - of[:-1][doc], size, range_hash(words.hash, a, b, _R1), range_hash(words.hash, a, b, _R2)
 
 
-def _spans(run: int, long_words: int):
+def _spans(run: int, long_words: int, least: Sequence[int] | None):
     names = ["key", "h1", "h2", "doc_id", "pos", "size", "later"]
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -67,7 +78,7 @@ def _spans(run: int, long_words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*text_buffers(part.column("text")))
-                doc, first, size, h1, h2 = spans_of(words, run, long_words)
+                doc, first, size, h1, h2 = spans_of(words, run, long_words, least)
                 ids, ok = ids_of(part.column("doc_id"))
                 tag = np.asarray(part.column("tag"))
                 good = ok[doc]
@@ -144,10 +155,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def span_dedup(docs: DataFrame, run: int = 3, long_words: int = 40) -> DataFrame:
+def span_dedup(docs: DataFrame, run: int = 3, long_words: int = 40, least: Sequence[int] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, text without the
     removed sentences, n_sentences before, n_removed, and removed, the numbers of those sentences from 0.
 
+    ``least`` gives the least words of runs of 1, 2, .. sentences; every run that holds them is a span.  Without
+    it each sentence begins one span only: the shortest run that holds ``long_words`` words, else
+    ``run`` sentences; what follows such a shorter run in a repeated passage may then stay.
+
     A null or empty text has no sentences and stays as it is.  A null doc_id takes no part and its
     text stays.  Texts that share a doc_id are ordered by a hash of the text; rows equal in both
     are one document and are all treated alike.  A document of which everything is removed stays
@@ -156,7 +171,7 @@ def span_dedup(docs: DataFrame, run: int = 3, long_words: int = 40) -> DataFrame
     docs = texts(docs)
     # Positions of different texts with one doc_id don't meet: the upper bits come from the text.
     docs = docs.withColumn("tag", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(0x3FFFFFFF)), 32))
-    spans = docs.mapInArrow(_spans(run, long_words), "key long, h1 long, h2 long, doc_id long, pos long, size int, later boolean")
+    spans = docs.mapInArrow(_spans(run, long_words, least), "key long, h1 long, h2 long, doc_id long, pos long, size int, later boolean")
     dealt = spans.repartition("key").sortWithinPartitions("key", "h1", "h2", "later", "doc_id", "pos")
     later = dealt.mapInArrow(_later, "doc_id long, pos long, size int")
     covers = later.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "size")).alias("covers"))
