@@ -83,6 +83,22 @@ for _name, _how, _kind in (("inner", "inner", "JOIN"), ("left", "left", "LEFT JO
     _sql = f"SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines, {_price} AS price FROM lineitem {_kind} (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0) o ON l_orderkey = o_orderkey"
     for _strategy in ("merge", "hash") if _name == "inner" else (None,):
         _add(f"join_{_name}" + (f"_{_strategy}" if _strategy else ""), _sql)(partial(_join_sum, how=_how, strategy=_strategy))
+
+
+def _join_whole(t: Load, how: str, strategy: str | None, residual: bool) -> DataFrame:
+    lines, o = t("lineitem"), t("orders")
+    cond = lines["l_extendedprice"] > o["o_totalprice"] / 2 if residual else None
+    out = joins.join(lines, o, _PAIR, how, residual=cond, strategy=strategy)
+    cents = F.sum(F.round(c("o_totalprice") * 100).cast("long")) if how not in ("left_semi", "left_anti") else F.lit(0).cast("long")
+    return out.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"), cents.alias("cents"))
+
+
+# The same forms over whole tables: orders without lines are unmatched by nature, lines are by the residual.
+for _name, _how, _kind, _residual in (("inner", "inner", "JOIN", False), ("left", "left", "LEFT JOIN", True), ("right", "right", "RIGHT JOIN", False), ("full", "full", "FULL JOIN", True), ("semi", "left_semi", "SEMI JOIN", True), ("anti", "left_anti", "ANTI JOIN", True)):
+    _cents = "sum(round(o_totalprice * 100)::BIGINT)::BIGINT" if _how not in ("left_semi", "left_anti") else "CAST(0 AS BIGINT)"
+    _sql = f"SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines, {_cents} AS cents FROM lineitem {_kind} orders ON l_orderkey = o_orderkey" + (" AND l_extendedprice > o_totalprice / 2" if _residual else "")
+    for _strategy in ("merge", "hash") if _name == "inner" else (None,):
+        _add(f"join_whole_{_name}" + (f"_{_strategy}" if _strategy else ""), _sql)(partial(_join_whole, how=_how, strategy=_strategy, residual=_residual))
 _add("join_nulls_equal", "SELECT count(*) AS n FROM (SELECT nullif(c_nationkey % 5, 0) AS k FROM customer) a JOIN (SELECT nullif(s_nationkey % 5, 0) AS k2 FROM supplier) b ON k IS NOT DISTINCT FROM k2")(
     lambda t: joins.join(t("customer").select(F.expr("nullif(c_nationkey % 5, 0) AS k")).groupBy("k").agg(F.count("*").alias("x")), t("supplier").select(F.expr("nullif(s_nationkey % 5, 0) AS k2")).groupBy("k2").agg(F.count("*").alias("y")), [("k", "k2")], nulls_equal=True).agg(F.sum(c("x") * c("y")).alias("n"))
 )
