@@ -57,3 +57,11 @@ def test_tail_of_a_repeated_passage_goes(spark, tmp_path):
     p = passage("p", 45, 20, 15)
     rows = [(1, p + " First own end."), (2, p + " Other text here."), (3, p)]
     assert removed(spark, tmp_path, rows) == {1: [], 2: [0, 1, 2], 3: [0, 1, 2]}
+
+
+def test_two_whole_sentences_of_a_cut_passage_go(spark, tmp_path):
+    a, b, c, d = passage("q", 30, 9, 9, 30).split(". ")
+    cut = lambda n, m: " ".join(a.split()[-n:]) + f". {b}. {c}. " + " ".join(d.split()[:m])
+    rows = [(1, f"{a}. {b}. {c}. {d}"), (2, "Before it " + cut(24, 25) + " and after it."), (3, f"Short one. Two here. {passage('z', 8, 9)}")]
+    rows.append((4, f"Then. {passage('z', 8, 9)}"))
+    assert removed(spark, tmp_path, rows) == {1: [], 2: [1, 2], 3: [], 4: []}

@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence every run of 1, 2, .. sentences that holds as many words as ``least`` asks of its
-length is hashed to 128 bits: the query takes every run of three, and shorter ones once they are long, so a
+length is hashed to 128 bits: the query takes every run of three, and two or one once they are long, so a
 long passage without full stops is also a span.  Spans meet globally by hash; the first occurrence
 (smallest doc_id, then position) stays, and every sentence that a later occurrence covers is removed.
 
@@ -24,7 +24,7 @@ from tidewater.llm.kernels import U, Words, mix, range_hash
 
 _R1, _R2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB  # odd multipliers of the two span hashes
 #: Words that a run of 1, 2, 3 sentences holds at least to be a span of the query.
-LEAST = (40, 40, 0)
+LEAST = (40, 18, 0)
 #: Spans a task holds before it passes them on.
 HELD = 1 << 20
 
@@ -57,7 +57,7 @@ def spans_of(words: Words, run: int, long_words: int, least: Sequence[int] | Non
 def _spans(run: int, long_words: int, least: Sequence[int] | None):
     names = ["key", "h1", "h2", "doc_id", "pos", "size", "later"]
 
-    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, pos, size = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((pos, doc, h2, h1))
@@ -70,7 +70,10 @@ def _spans(run: int, long_words: int, least: Sequence[int] | None):
         later &= ~same
         key = np.where(later, mix(doc.view(U) ^ mix(pos.view(U))), h1).view(np.int64)
         cols = [key, h1.view(np.int64), h2.view(np.int64), doc, pos, size.astype(np.int32), later]
-        return pa.record_batch([pa.array(c[~same]) for c in cols], names)
+        out = pa.record_batch([pa.array(c[~same]) for c in cols], names)
+        # The JVM holds a batch as a whole, so it gets small ones.
+        for at in range(0, out.num_rows, 1 << 15):
+            yield out.slice(at, 1 << 15)
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
@@ -86,10 +89,10 @@ def _spans(run: int, long_words: int, least: Sequence[int] | None):
                 held.append((h1, h2, ids[doc], tag[doc] + first, size))
                 n += len(first)
                 if n > HELD:
-                    yield flush(held)
+                    yield from flush(held)
                     n = 0
         if n:
-            yield flush(held)
+            yield from flush(held)
 
     return run_
 
