@@ -21,21 +21,36 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where("quality_kept").select(docs.columns)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    return materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column row_number_, written once so that the numbers stay."""
+    return materialise(docs.withColumn("row_number_", F.monotonically_increasing_id()), "numbered")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id, the one with the longest text stays.  Documents without words, and
-    rows with a null doc_id, are in no group and stay.
+    Rows that share a doc_id are documents of their own; of those in one group the one with the longest
+    text stays.  Documents without words, and rows with a null doc_id, are in no group and stay, but
+    of a repeated doc_id a row without words stays only if no row has words, and then the longest.
     """
-    found = jaccard_components(docs, WIDTH, NUM, DEN)
-    gone = materialise(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.limit(1).count():
-        return kept.select(docs.columns)
-    one = F.max(F.struct(F.char_length("text").alias("longest"), *(F.col(c) for c in docs.columns))).alias("row")
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    if not repeated_ids(docs).limit(1).count():
+        found = jaccard_components(docs, WIDTH, NUM, DEN)
+        gone = materialise(found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    own = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row_number_")).alias("doc_id"), "text")
+    found = jaccard_components(own, WIDTH, NUM, DEN).where("doc_id is not null")
+    found = found.select(F.col("doc_id").alias("row_number_"), "component_id", (F.col("n_shingles") > 0).alias("worded"))
+    order = F.struct("doc_id", (-F.char_length("text")).alias("shorter"), F.xxhash64("text").alias("hash"), "row_number_")
+    placed = materialise(rows.where("doc_id is not null").select("row_number_", "doc_id", order.alias("order")).join(found, "row_number_"), "placed")
+    first = placed.where("worded").groupBy("component_id").agg(F.min("order").alias("o"))
+    bare = placed.where("not worded").join(placed.where("worded").select("doc_id").distinct(), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("order").alias("o"))
+    kept = materialise(first.select("o.row_number_").union(bare.select("o.row_number_")), "kept")
+    return rows.where("doc_id is null").select(docs.columns).union(rows.where("doc_id is not null").join(kept, "row_number_", "left_semi").select(docs.columns))
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
