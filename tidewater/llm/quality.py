@@ -175,11 +175,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns ``quality`` (0 or 1) from at most ``sample`` labelled documents outside the held-out fold."""
+    """Learns ``quality`` (0 or 1) from at most ``sample`` labelled documents outside the held-out fold; repeated labels count once."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (fold != 0))
     order = (F.xxhash64("doc_id"), "doc_id", "quality")
-    some = labels.orderBy(*order).limit(sample)
+    some = labels.distinct().orderBy(*order).limit(sample)
     docs = texts(docs)
     # At most ``sample`` rows of 12 bytes, whatever the input's size.
     rows = docs.join(F.broadcast(some), "doc_id").mapInArrow(_measured, "doc_id long, quality int, x array<double>")

@@ -101,8 +101,8 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> Model:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from at most ``sample`` of the judged rows (host, path, ruled), chosen by a hash of the url."""
-    rows = pages.where("ruled is not null").select("host", "path", "ruled").orderBy(F.xxhash64("host", "path"), "host", "path", "ruled").limit(sample).collect()
+    """Learns from at most ``sample`` of the distinct judged rows (host, path, ruled), chosen by a hash of the url."""
+    rows = pages.where("ruled is not null").select("host", "path", "ruled").distinct().orderBy(F.xxhash64("host", "path"), "host", "path", "ruled").limit(sample).collect()
     return train([f"{r.host}\x00{r.path}" for r in rows], [int(r.ruled == "block") for r in rows])
 
 
