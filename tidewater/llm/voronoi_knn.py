@@ -36,9 +36,14 @@ def quantised(column: pa.Array, scale: int) -> tuple[list[bytes | None], list[in
         if row is None or row.null_count:
             x = None
         else:
-            x = np.floor(scale * np.asarray(row).astype(float))
-            if not np.isfinite(x).all() or (len(x) and np.abs(x).max() >= 1 << 31):
+            x = np.asarray(row).astype(float)
+            if not np.isfinite(x).all():
                 x = None
+            else:
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * x)
+                if len(x) and np.abs(x).max() >= 1 << 31:
+                    raise ValueError(f"a component times {scale} does not fit 32 bits")
         out.append(None if x is None else x.astype("<i4").tobytes())
         size.append(0 if x is None else len(x))
     return out, size
@@ -135,7 +140,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     ``vectors`` has vec_id and embedding; other columns are ignored.  Queries are the rows whose
     vec_id is divisible by ``every``.  Ties go to the smaller vec_id.  Vectors that are null, empty or hold
     null or non-finite components take no part, nor do null vec_ids, nor vectors whose length is not
-    the most frequent one.  A repeated vec_id is one vector (the smallest of its values).
+    the most frequent one.  A finite component whose product with ``scale`` reaches 2**31 fails the query.  A repeated vec_id is one vector (the smallest of its values).
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
