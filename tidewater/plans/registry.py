@@ -125,11 +125,17 @@ _add("sum_with_overflow", "SELECT l_returnflag AS f, sum(l_orderkey * 1000000)::
 
 @_add("bloom_filter_semi", "SELECT count(*) FILTER (WHERE l_orderkey % 4 = 0) AS members, CAST(0 AS BIGINT) AS missed FROM lineitem")
 def _bloom(t: Load) -> DataFrame:
-    """Members of a filter and how many of them it misses; its size is fixed by the number of bits."""
-    some = c("l_orderkey") % 4 == 0
-    bloom = t("lineitem").where(some).agg(catalyst.bloom_filter_agg(c("l_orderkey"), 1_000_000, 8_388_608)).scalar()
-    hit = catalyst.might_contain(bloom, c("l_orderkey"))
-    return t("lineitem").where(some).select(hit.alias("hit")).agg(F.count("*").alias("members"), F.count_if(~c("hit")).alias("missed"))
+    """Semi-join of all lines with the members, behind a filter of 8 bits a member that every line is put to: rows found, and rows the filter misses."""
+    return _bloom_probe(t).agg(F.count_if(c("hit") & c("member")).alias("members"), F.count_if(~c("hit") & c("member")).alias("missed"))
+
+
+def _bloom_probe(t: Load) -> DataFrame:
+    """Every line with hit (the filter's answer) and member (the exact one)."""
+    some = t("lineitem").where(c("l_orderkey") % 4 == 0).select(c("l_orderkey").alias("k")).distinct()
+    n = max(1, some.count())
+    bloom = some.agg(catalyst.bloom_filter_agg(c("k"), n, max(64, 8 * n))).scalar()
+    lines = t("lineitem").select("l_orderkey", F.coalesce(catalyst.might_contain(bloom, c("l_orderkey")), F.lit(False)).alias("hit"))
+    return joins.with_matches(lines, some, [("l_orderkey", "k")], "member")
 
 
 _add("hll_sketch")(lambda t: aggregates.hll_estimate(aggregates.hll_registers(t("lineitem"), ["l_returnflag"], "l_partkey", 12), ["l_returnflag"], 12))
