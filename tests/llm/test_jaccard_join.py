@@ -5,6 +5,7 @@ from tidewater.llm.jaccard_join import divide_skip, jaccard_components
 from tidewater.llm.kernels import U
 
 import numpy as np
+import pyarrow as pa
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -102,3 +103,21 @@ def test_large_clusters(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_components(df, 3, 80, 100).collect())) == brute(rows, 3, 80, 100)
     assert sorted(map(tuple, jaccard_components(df, 3, 90, 100).collect())) == brute(rows, 3, 90, 100)
+
+
+def test_leads_across_batches():
+    from tidewater.llm.jaccard_join import _leads
+
+    rnd = random.Random(1)
+    for _ in range(500):
+        rows = sorted((rnd.randrange(1, 6), rnd.randrange(1, 7)) for _ in range(rnd.randrange(1, 25)))
+        want = set()
+        for sig in {s for s, _ in rows}:
+            nodes = sorted({n for s, n in rows if s == sig})
+            want |= {(nodes[0], nodes[1], n) for n in nodes[1:]}
+        batches, at = [], 0
+        while at < len(rows):
+            some = rows[at : at + rnd.randrange(1, 6)]
+            at += len(some)
+            batches.append(pa.record_batch([pa.array(c, pa.int64()) for c in zip(*some)], ["sig", "node"]))
+        assert {row for b in _leads(iter(batches)) for row in zip(*b.to_pydict().values())} == want

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a folder is made and set.
+    Where that setting is absent a folder is made and set, but only if everything runs on this one
+    machine (tests); on a cluster that is an error, as other machines would not see the folder.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             where = got.get()
+        elif not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="corpus-shared-")
             spark.sparkContext.setCheckpointDir(where)
@@ -62,18 +65,43 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Deletes the shuffle files of a write as it ends, so that only one step's files are on disk at a time.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and no executor loss undoes it."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that no later plan reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, unreferenced queries now rather than at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one row a key, whose ``size`` is the key's number of rows.
+
+    Keys with a thousandth or more of all rows, of which there are at most 1000, go by broadcast, so
+    a hot key's rows stay where they are; the others are shuffled.  ``rows`` should be a stored table.
+    """
+    least = F.lit(-(-rows.count() // 1000))
+    hot = F.broadcast(table.where(F.col("size") >= least))
+    others = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(table.where(F.col("size") < least), keys))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

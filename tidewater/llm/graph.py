@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import materialise
+from tidewater.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,12 +18,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = materialise(links.union(links.select("v", "u")).distinct(), "links")
     labels = materialise(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
+    stored = labels
     while True:
         near = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("least"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = materialise(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
         moved = step.where("old <> label").limit(1).count()
-        labels = step.select("node", "label")
+        discard(stored)
+        stored, labels = step, step.select("node", "label")
         if not moved:
+            discard(links)
             return labels.withColumnRenamed("label", "component")

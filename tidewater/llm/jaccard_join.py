@@ -9,16 +9,18 @@ block.  The number of parts depends on the size class of the sets; a set takes p
 of its own class and of the next one, which covers all size ratios a link allows.
 
 Sieve: each set has a parity sketch, whose Hamming distance never exceeds the number of elements
-in which two sets differ.  Members of a block that no chain of close sketches connects part ways,
-still without losing a link.
+in which two sets differ.  A block's first member leads it; all that share blocks of one lead (for
+leads with many members: of one lead and second member) form a group, so a sketch is sent once a group
+and not once a block.  Members of a group that no chain of close
+sketches connects part ways, still without losing a link.  What stays together, over all groups,
+forms clusters.
 
 Search: a work unit holds at most ``2 * CHUNK`` sets.  Within a unit each set queries inverted
 lists: the longest are set aside, the short ones are merged with a heap, and sets that occur often
 enough are probed in the long lists by binary search (DivideSkip), which gives exact overlaps.  A
-first round takes the clusters that blocks' first members form with members close to them, a
-large cluster in chunks that share a few hub sets; that is linear work and connects most copies.
-A second round takes every block whose members are still apart, sieved, every two chunks of it in
-a unit, and compares only sets that are not connected yet.
+cluster is a unit; a large one is first searched in chunks that share a few hub sets, which is linear
+work and connects most copies.  Only what is apart after that, in large clusters and in groups too large
+for one sieve, takes every two chunks, and compares only sets that are not connected yet.
 """
 
 from __future__ import annotations
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free_shuffles, ids_of, materialise, only, slices, text_buffers, texts
+from tidewater.llm.common import discard, ids_of, materialise, only, slices, spread_join, text_buffers, texts
 from tidewater.llm.graph import connected_components
 from tidewater.llm.kernels import U, Words, mix
 
 #: Sets in one chunk; a work unit of the search holds at most two chunks.
 CHUNK = 128
-#: Nodes in one chunk of a large block during the sieve, where a row holds only a sketch.
+#: Nodes in one chunk of a large group during the sieve, where a row holds only a sketch; at most two chunks are sieved at once.
 SIEVE_CHUNK = 1024
 #: Sets of a large cluster that every chunk of it is searched against first.
 HUBS = 4
@@ -169,54 +171,31 @@ def _postings(width: int, num: int, den: int):
     return run
 
 
-def _runs(chunk: int):
-    """From postings sorted by (sig, node): the distinct nodes of each signature that has several, in chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("powers")
-        sig_now, held, number = None, [], 0
-
-        def emit(rows: list, more: bool) -> None:
-            nonlocal held, number
-            if len(held) > 1 or number:
-                rows.append((sig_now, number, more or number > 0, held))
-            held, number = [], number + 1
-
-        for batch in batches:
-            rows: list = []
-            sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if not len(sig):
-                continue
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[new], node[new]
-            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            length = np.diff(np.concatenate([begin, [len(sig)]]))
-            # Runs of one row inside the batch are alone; only the first and the last may go on in other batches.
-            keep = length > 1
-            keep[0] = keep[-1] = True
-            for at, size in zip(begin[keep].tolist(), length[keep].tolist()):
-                s, members = int(sig[at]), node[at : at + size].tolist()
-                if s != sig_now:
-                    emit(rows, False)
-                    sig_now, number = s, 0
-                elif held and held[-1] == members[0]:
-                    members = members[1:]
-                for m in members:
-                    if len(held) >= chunk:
-                        emit(rows, True)
-                    held.append(m)
-            yield _run_batch(rows)
-        rows = []
-        emit(rows, False)
-        yield _run_batch(rows)
-
-    return run
-
-
-def _run_batch(rows: list) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())))], ["sig", "chunk", "large", "members"])
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From postings sorted by (sig, node): each signature's first two nodes with every node after the first."""
+    only("powers")
+    sig_now = lead_now = second_now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        at = np.arange(len(sig))
+        new = np.ones(len(sig), bool)
+        new[1:] = sig[1:] != sig[:-1]
+        new[0] = sig_now != sig[0]
+        begin = np.maximum.accumulate(np.where(new, at, -1))  # -1: the signature began in an earlier batch
+        lead = np.where(begin < 0, lead_now, node[begin]) if begin[0] < 0 else node[begin]
+        # The second node is the first that differs from the lead; copies may repeat a node.
+        other = lead != node
+        first = other.copy()
+        first[1:] &= ~(other[:-1] & (sig[1:] == sig[:-1]))
+        if begin[0] < 0 and second_now is not None:
+            first[: len(sig) if not new.any() else int(np.argmax(new))] = False
+        mark = np.maximum.accumulate(np.where(first, at, -1))
+        second = np.where(mark < 0, second_now, node[mark]) if len(mark) and mark[0] < 0 and second_now is not None else node[mark]
+        yield pa.record_batch([pa.array(x[other].astype(np.int64)) for x in (lead, second, node)], ["lead", "second", "node"])
+        sig_now, lead_now = sig[-1], lead[-1]
+        second_now = second[-1] if other[-1] else None
 
 
 def _needed_sets(width: int):
@@ -226,8 +205,8 @@ def _needed_sets(width: int):
             for part in slices(batch, "text"):
                 sets = sets_of(part, width)
                 yield pa.record_batch(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "node", "shingles"],
+                    [pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["node", "shingles"],
                 )
 
     return run
@@ -315,63 +294,65 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, joined: bool = True,
     return links
 
 
-def _close(num: int, den: int):
-    """The pairs whose sketches are close enough for a link."""
+def _sieved(num: int, den: int, most: int):
+    """Of rows sorted by (group, salt), the lead's own first: sieved groups, and chunks of groups that are not sieved whole."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only()
-        for batch in batches:
-            keep = [bool(sieve([n, m], [x, y], num, den)) for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _sieved(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
-        now, nodes, sizes, raws = None, [], [], []
+        now, nodes, sizes, raws, parted = (None, None), [], [], [], False
 
-        def solve(out: list) -> None:
-            nonlocal nodes, sizes, raws
+        def solve(rows: list) -> None:
             if len(nodes) > 1:
-                out += [sorted(nodes[i] for i in g) for g in sieve(sizes, raws, num, den)]
-            nodes, sizes, raws = [], [], []
+                if parted:
+                    rows.append((now[0], True, sorted(nodes)))
+                rows += [(now[0], False, sorted(nodes[i] for i in g)) for g in sieve(sizes, raws, num, den)]
 
         for batch in batches:
-            out: list = []
-            for unit, node, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if unit != now:
-                    solve(out)
-                    now = unit
+            rows: list = []
+            for group, salt, split, node, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (group, salt) != now:
+                    solve(rows)
+                    now, nodes, sizes, raws, parted = (group, salt), [], [], [], split
+                elif len(nodes) >= most:
+                    parted = True
+                    solve(rows)
+                    # The next chunk has the lead too, so that all chunks' members may meet through it.
+                    nodes, sizes, raws = nodes[:1], sizes[:1], raws[:1]
                 nodes.append(node)
                 sizes.append(n)
                 raws.append(raw)
-            yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["members"])
-        out = []
-        solve(out)
-        yield pa.record_batch([pa.array(out, pa.list_(pa.int64()))], ["members"])
+            yield _group_batch(rows)
+        rows = []
+        solve(rows)
+        yield _group_batch(rows)
 
     return run
 
 
+def _group_batch(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[], [], []]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.list_(pa.int64())))], ["group", "chunk", "members"])
+
+
 def _units(num: int, den: int, joined: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
-        now, docs, sets, parts = None, [], [], []
+        now, nodes, sets, parts = None, [], [], []
 
         def solve(rows: list) -> None:
-            nonlocal docs, sets, parts
-            rows += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in divide_skip(sets, num, den, joined, parts)]
-            docs, sets, parts = [], [], []
+            nonlocal nodes, sets, parts
+            rows += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in divide_skip(sets, num, den, joined, parts)]
+            nodes, sets, parts = [], [], []
 
         for batch in batches:
             rows: list = []
-            for unit, doc, part, s in zip(batch.column("unit").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), batch.column("shingles")):
+            for unit, node, part, s in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), batch.column("part").to_pylist(), batch.column("shingles")):
                 if unit != now:
                     solve(rows)
                     now = unit
-                docs.append(doc)
+                elif node == nodes[-1]:  # a row that repeats its doc_id and text
+                    continue
+                nodes.append(node)
                 parts.append(part)
                 sets.append(np.frombuffer(s.as_buffer(), U))
             yield _pairs(rows)
@@ -396,65 +377,78 @@ def _chunked(units: DataFrame, members: str, size: int) -> DataFrame:
     return small.union(tiles.select(F.expr(f"concat(slice({members}, p.i * {size} + 1, {size}), slice({members}, p.j * {size} + 1, {size}))").alias(members)))
 
 
-def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(ids, links).  ids: doc_id, n_shingles, rep, the smallest doc_id with the same set (null for empty sets).
+def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids, classes, links).  ids: doc_id, n_shingles, h1, h2, where (h1, h2) is the key of the row's set.
 
-    links: pairs (a, b) of reps, a < b, whose sets have Jaccard similarity num/den or more, enough
-    of them to connect what all of them connect.
+    classes: a row per distinct non-empty set: node (its h1), h2, rep (the smallest doc_id), size (its number of rows).
+    links: pairs (a, b) of nodes, a < b, whose sets have Jaccard similarity num/den or more, enough of
+    them to connect what all of them connect.
     """
     docs = texts(docs)
     ids = materialise(docs.mapInArrow(_identify(width), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "ids")
-    classes = ids.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    worded = ids.where("doc_id is not null and n_shingles > 0").withColumnRenamed("h1", "node")
+    classes = worded.groupBy("node", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    classes = materialise(classes, "classes")
+    sketches = classes.select("node", "n", "sketch")
 
     posted = docs.mapInArrow(_postings(width, num, den), "sig long, node long")
-    runs = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs(SIEVE_CHUNK), "sig long, chunk long, large boolean, members array<long>")
-    runs = materialise(runs, "runs")
-    free_shuffles(docs.sparkSession)
-    sketches = ids.where("doc_id is not null and n_shingles > 0").groupBy(F.col("h1").alias("node")).agg(F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"))
+    met = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leads, "lead long, second long, node long").distinct()
+    met = materialise(met, "met")
+    # Where a lead has too many members for one sieve, those of its blocks that agree in the second node, too, form a group.
+    wide = F.when(F.col("size") > 2 * SIEVE_CHUNK, F.xxhash64("lead", "second")).otherwise(F.col("lead"))
+    member = spread_join(met, met.groupBy("lead").agg(F.count("*").alias("size")), ["lead"]).select(wide.alias("group"), "lead", "node").distinct()
+    member = materialise(member, "member")
+    # Groups with a thousandth or more of all members (at most 1000 groups) are dealt in chunks from the start.
+    least = max(2 * SIEVE_CHUNK, -(-member.count() // 1000))
+    hot = F.broadcast(member.groupBy("group").count().where(F.col("count") >= least).select("group", F.ceil(F.col("count") / SIEVE_CHUNK).alias("chunks")))
+    split = F.col("chunks").isNotNull()
+    dealt = member.join(hot, "group", "left").select("group", F.when(split, F.pmod(F.xxhash64("node"), "chunks")).otherwise(0).alias("salt"), split.alias("split"), "node", F.lit(1).alias("order"))
+    own = member.select("group", "lead").distinct().join(hot, "group", "left")
+    own = own.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1).cast("long")) - 1)).alias("salt"), split.alias("split"), F.col("lead").alias("node"), F.lit(0).alias("order"))
+    rows = dealt.union(own).join(sketches.hint("merge"), "node").repartition("group", "salt").sortWithinPartitions("group", "salt", "order")
+    rows = rows.select("group", "salt", "split", "node", "n", "sketch")
+    groups = materialise(rows.mapInArrow(_sieved(num, den, 2 * SIEVE_CHUNK), "group long, chunk boolean, members array<long>"), "groups")
+    discard(met, member)
 
     def search(units: DataFrame) -> DataFrame:
-        wanted = classes.join(units.select(F.col("node").alias("h1")).distinct(), "h1", "left_semi").select(F.col("rep").alias("doc_id"))
+        wanted = classes.join(units.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id"))
         # A repeated doc_id has a set for each of its texts; only those whose node is asked for meet a unit.
-        sets = docs.join(materialise(wanted, "wanted"), "doc_id", "left_semi").mapInArrow(_needed_sets(width), "doc_id long, node long, shingles binary")
-        rows = units.join(sets, "node").select("unit", "doc_id", "part", "shingles").repartition("unit").sortWithinPartitions("unit")
+        sets = docs.join(materialise(wanted.distinct(), "wanted"), "doc_id", "left_semi").mapInArrow(_needed_sets(width), "node long, shingles binary")
+        rows = units.join(sets, "node").select("unit", "node", "part", "shingles").repartition("unit").sortWithinPartitions("unit", "node")
         return materialise(rows.mapInArrow(_units(num, den, True), "a long, b long").where("a <> b").distinct(), "links")
 
-    # First what is close to the first member of a block that it is in: copies of one text mostly connect here.
-    pairs = runs.select(F.element_at("members", 1).alias("a"), F.explode("members").alias("b")).where("a <> b").distinct()
-    one, two = (sketches.select(*(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "sketch"))) for i in (1, 2))
-    close = pairs.join(one, pairs.a == one.node1).join(two, F.col("b") == two.node2).select("a", "b", "n1", "sketch1", "n2", "sketch2")
-    cluster = connected_components(close.mapInArrow(_close(num, den), "a long, b long"))
-    cluster = cluster.withColumnRenamed("component", "unit")
-    size = cluster.groupBy("unit").agg(F.count("*").alias("size"))
-    cluster = materialise(cluster.join(size, "unit"), "cluster")
+    first = F.element_at("members", 1)
+    edges = groups.where("not chunk").select(first.alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b"))
+    cluster = connected_components(edges.distinct()).withColumnRenamed("component", "unit")
+    cluster = materialise(spread_join(cluster, cluster.groupBy("unit").agg(F.count("*").alias("size")), ["unit"]).select("node", "unit", "size"), "cluster")
     big = cluster.where(F.col("size") > 2 * CHUNK)
     units = cluster.where(F.col("size") <= 2 * CHUNK).select("unit", "node").union(_with_hubs(big))
     links = search(materialise(units.withColumn("part", F.lit(None).cast("long")), "units"))
-    free_shuffles(docs.sparkSession)
-
-    # Then every block whose members are not all connected by now, in full.
-    node_of = classes.select("rep", F.col("h1").alias("node"))
-    found = links.join(node_of.select(F.col("rep").alias("a"), F.col("node").alias("u")), "a").join(node_of.select(F.col("rep").alias("b"), F.col("node").alias("v")), "b")
-    part = connected_components(found, "u", "v").withColumnRenamed("component", "part")
-    held = runs.select("sig", F.explode("members").alias("node")).join(part, "node", "left").select("sig", F.coalesce("part", "node").alias("part"))
-    apart = held.groupBy("sig").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("sig")
-    rest = materialise(runs.join(apart, "sig", "left_semi"), "rest")
-    large = rest.where("large")
-    other = large.select("sig", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
-    tiles = large.join(other, "sig").where("chunk < chunk2").select(F.concat("members", "members2").alias("members"))
-    blocks = rest.where("not large").select("members").union(tiles).distinct().select(F.xxhash64("members").alias("unit"), F.explode("members").alias("node"))
-    rows = blocks.join(sketches, "node").select("unit", "node", "n", "sketch").repartition("unit").sortWithinPartitions("unit")
-    groups = materialise(rows.mapInArrow(_sieved(num, den), "members array<long>").distinct(), "groups")
-    # Members in order of their parts (a group has at most 2 * SIEVE_CHUNK), so most chunks hold one part and few pairs of chunks are mixed.
-    member = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(part, "node", "left")
+    if not big.limit(1).count() and not groups.where("chunk").limit(1).count():
+        return ids, classes, links  # every pair of every group was searched
+
+    # Large clusters were searched around their hubs only, and large groups were sieved in chunks: what is still apart there.
+    part = connected_components(links).withColumnRenamed("component", "part")
+    mine = groups.where("not chunk").withColumn("node", first).join(big.select("node"), "node", "left_semi").select("members")
+    chunks = groups.where("chunk").select("group", F.xxhash64("members").alias("id"), "members").distinct()
+    held = chunks.select("group", F.explode("members").alias("node")).join(part, "node", "left").select("group", F.coalesce("part", "node").alias("part"))
+    apart = held.groupBy("group").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("group")
+    chunks = materialise(chunks.join(apart, "group", "left_semi"), "chunks")
+    other = chunks.select("group", F.col("id").alias("id2"), F.col("members").alias("members2"))
+    tiles = chunks.join(other, "group").where("id < id2").select(F.concat("members", "members2").alias("members"))
+    blocks = tiles.select(F.xxhash64("members").alias("group"), F.explode(F.array_distinct("members")).alias("node"))
+    rows = blocks.distinct().join(sketches, "node").select("group", F.lit(0).alias("salt"), F.lit(False).alias("split"), "node", "n", "sketch")
+    rows = rows.repartition("group").sortWithinPartitions("group")
+    tiled = rows.mapInArrow(_sieved(num, den, 1 << 30), "group long, chunk boolean, members array<long>").select("members")
+    mixed = materialise(mine.union(tiled).distinct(), "mixed")
+    # Members in order of their parts (a group has at most four chunks of the sieve), so most chunks hold one part and few pairs of chunks are mixed.
+    member = mixed.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")).join(part, "node", "left")
     ordered = member.groupBy("g").agg(F.sort_array(F.collect_set(F.struct(F.coalesce("part", "node").alias("part"), "node"))).alias("members"))
     parts = F.transform("members", lambda m: m.part)
-    mixed = F.array_min(parts) != F.array_max(parts)
-    tiles = _chunked(ordered.where(mixed), "members", CHUNK).where(mixed).distinct()
+    several = F.array_min(parts) != F.array_max(parts)
+    tiles = _chunked(ordered.where(several), "members", CHUNK).where(several).distinct()
     units = tiles.select(F.xxhash64("members").alias("unit"), F.explode("members").alias("m")).select("unit", "m.node", "m.part")
-    links = links.union(search(materialise(units, "units")))
-    reps = ids.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep"))
-    return reps, links
+    return ids, classes, links.union(search(materialise(units, "units")))
 
 
 def _with_hubs(big: DataFrame) -> DataFrame:
@@ -474,10 +468,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     wordless text has the empty set and is linked with nothing; a null doc_id takes no part and
     has a null component.  Rows that repeat a doc_id are one document with several texts.
     """
-    reps, links = jaccard_links(docs, width, num, den)
+    ids, classes, links = jaccard_links(docs, width, num, den)
+    worded = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    rows = ids.where(worded).select("doc_id", "n_shingles", F.col("h1").alias("node"), "h2")
     # Rows of one doc_id with different texts hold their classes together.
-    several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    own = reps.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
-    comp = connected_components(links.union(own)).withColumnsRenamed({"node": "rep"})
-    out = reps.join(comp, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    own = rows.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+    placed = classes.select("node", "h2", "rep", "size").join(connected_components(links.union(own)), "node", "left")
+    placed = materialise(placed.withColumn("component", F.coalesce("component", "node")), "placed")
+    named = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    placed = spread_join(placed.withColumnRenamed("size", "rows"), named, ["component"]).select("node", "h2", F.col("rows").alias("size"), "component_id")
+    out = spread_join(rows, placed, ["node", "h2"]).select("doc_id", "n_shingles", "component_id")
+    return out.union(ids.where(~F.coalesce(worded, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

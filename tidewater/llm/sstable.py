@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import free_shuffles, fresh_path, ids_of, materialise, only, slices, text_buffers, texts
+from tidewater.llm.common import fresh_path, ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.tokens import SLICE, default_path, encoder
 
 MAGIC = b"TWSST001"
@@ -235,5 +235,4 @@ def shard_digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes shards to the shared folder and returns what the files hold."""
     folder = fresh_path(docs.sparkSession, "shards")
     manifest = write_shards(docs, folder, tokenizer)
-    free_shuffles(docs.sparkSession)
     return read_digests(manifest, folder)
