@@ -104,6 +104,23 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(hot, keys).unionByName(others.join(table.where(F.col("size") < least), keys))
 
 
+def hash_sample(rows: DataFrame, keys: list[str], by: list[str], most: int) -> DataFrame:
+    """The ``most`` distinct rows of ``keys`` that come first by the hash of ``by`` (all, if there are fewer).
+
+    Only rows below a hash bound, chosen by the number of distinct rows so that a few times ``most`` are left, reach
+    the sort, so what it gathers does not grow with the number of partitions.
+    """
+    rows, place = rows.select(*keys), F.xxhash64(*by)
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    share = min(1.0, (4 * most + 1000) / max(1, n))
+    below = rows.distinct()
+    if share < 1:
+        below = rows.where(place < F.lit(int(share * 2**64) - 2**63)).distinct()
+        if below.limit(most).count() < most:  # hardly ever: ``by`` takes few values
+            below = rows.distinct()
+    return below.orderBy(place, *keys).limit(most)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 offsets of a string column; a null counts as an empty text."""
     if column.null_count:
