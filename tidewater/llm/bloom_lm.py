@@ -3,9 +3,10 @@
 The filter holds every word pair of the training texts with its count quantised to powers of two:
 a pair of level q is inserted q times, as (pair, 1) to (pair, q), and a probe asks for rising levels
 until one is missing.  Pairs are counted over all documents; the filter has about ``BITS`` bits for each
-insertion, so it grows with the corpus.  It is cut into segments by the pair's hash.  Workers get
-it by broadcast, at most ``MOST_BYTES`` at a time: a larger filter takes several passes, each of which
-scores the pairs of its segments, and the passes' sums add up.
+insertion, so it grows with the corpus.  It is cut into segments by the pair's hash.  A filter of at most
+``MOST_BYTES`` is broadcast to the workers, which probe it in place.  A larger one stays where it is: each
+chunk of texts sends its distinct pairs to their segments and gets the levels back, so nothing is broadcast
+and both work and traffic stay in proportion to the corpus.
 
 Single words are counted exactly.  Texts are gathered into chunks with a vocabulary each; only
 vocabularies meet globally, split by hash, and each chunk gets its own words' counts back.
@@ -190,7 +191,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Filter:
-    """Some segments of the whole filter, laid end to end in ``raw``; ``lengths`` are (bucket, bytes) in that order."""
+    """Segments laid end to end in ``raw``; ``lengths`` are (bucket, bytes) in that order, buckets are the keys' first ``bits``."""
 
     def __init__(self, bits: int, lengths: list[tuple[int, int]], raw: bytes):
         self.bits, n = bits, 1 << bits
@@ -201,31 +202,69 @@ class Filter:
             at += z
         self.raw = np.frombuffer(raw, np.uint8)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Expected counts, from the highest level that is present along with all below it."""
-        out = np.zeros(len(keys))
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level of each key that is present along with all below it; 0 for none."""
+        out = np.zeros(len(keys), np.uint8)
         bucket = (keys >> U(KEY - self.bits)).astype(np.int64)
         live = np.flatnonzero(self.size[bucket] > 0)
-        q = 1
         while len(live):
             for i in range(HASHES):
                 b = bucket[live]
-                p = (probes(keys[live], q, i) % self.size[b].astype(U)).astype(np.int64)
+                p = (probes(keys[live], out[live] + 1, i) % self.size[b].astype(U)).astype(np.int64)
                 live = live[(self.raw[self.at[b] + (p >> 3)] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
-            out[live] = (3 * 2.0 ** (q - 1) - 1) / 2
-            q += 1
+            out[live] += 1
         return out
 
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return expected(self.levels(keys))
+
+
+def expected(levels: np.ndarray) -> np.ndarray:
+    """The mean count of each level: 0, then the middle of 2**(q - 1) to 2**q - 1."""
+    return np.where(levels > 0, (3 * 2.0 ** (levels.astype(float) - 1) - 1) / 2, 0)
+
+
+def _asked(bits: int):
+    """The distinct pairs of each chunk, cut by the segment that holds them; segments' own rows have chunk -1 and sort first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, _, _, _, word, before = _documents(row)
+                keys = np.unique(pair_keys(before, word))
+                edge = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(KEY - bits)), len(keys))
+                rows = [(b, row["chunk"], ascending(keys[x:y])) for b, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())) if y > x]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "raw"])
+
+    return run
+
 
-def _scores(shared, first: bool, n: int, v: int, starts: int):
-    """Sums of the pass's segments; the first pass gives all other columns too."""
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of the pairs that chunks ask for, from rows sorted by (bucket, chunk)."""
+    only("powers")
+    now, held = None, None
+    for batch in batches:
+        rows = []
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if row["chunk"] < 0:
+                # A segment alone: its number need not be looked up.
+                now, held = row["bucket"], Filter(0, [(0, len(row["raw"]))], row["raw"])
+                continue
+            keys = ascended(row["raw"])
+            levels = held.levels(keys) if row["bucket"] == now else np.zeros(len(keys), np.uint8)
+            rows.append((row["chunk"], row["bucket"], packed(levels)))
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "levels"])
+
+
+def _scores(shared, n: int, v: int, starts: int):
+    """Scores of the chunks' texts; the filter is ``shared``, or each chunk has its pairs' levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
-        bits, wanted, lengths_, raw = shared.value
-        filter_ = Filter(bits, lengths_, raw)
-        mine = np.zeros(1 << bits, bool)
-        mine[list(wanted)] = True
+        filter_ = Filter(*shared.value) if shared else None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -236,19 +275,13 @@ def _scores(shared, first: bool, n: int, v: int, starts: int):
                 context = np.empty(len(c))
                 context[1:] = c[:-1]
                 context[np.cumsum(lengths) - lengths] = starts
-                keys = pair_keys(before, word)
-                here = mine[(keys >> U(KEY - bits)).astype(np.int64)]
-                got = np.zeros(len(keys))
-                ask = here & (context > 0) & (c > 0)
-                got[ask] = filter_.counts(keys[ask])
-                terms = np.where(here, np.log10((np.minimum(got, context) + MU * p) / (context + MU)), 0)
+                keys, which = np.unique(pair_keys(before, word), return_inverse=True)
+                levels = filter_.levels(keys) if filter_ else np.concatenate([unpacked(t["levels"], np.uint8) for t in sorted(row["answers"], key=lambda t: t["bucket"])])
+                got = np.where((context > 0) & (c > 0), expected(levels)[which], 0)
+                terms = np.log10((np.minimum(got, context) + MU * p) / (context + MU))
                 at = np.cumsum(lengths) - lengths
-                score = np.add.reduceat(terms, at)
-                cols = [pa.array(ids, mask=~known), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(np.log10(p), at)), pa.array(score)]
-                if first:
-                    yield pa.record_batch([pa.array(np.full(len(ids), row["chunk"])), pa.array(np.arange(len(ids))), *cols], ["chunk", "row", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-                else:
-                    yield pa.record_batch([pa.array(np.full(len(ids), row["chunk"])), pa.array(np.arange(len(ids))), pa.array(score)], ["chunk", "row", "more"])
+                cols = [pa.array(ids, mask=~known), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(np.log10(p), at)), pa.array(np.add.reduceat(terms, at))]
+                yield pa.record_batch(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -280,27 +313,20 @@ def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUN
     pairs = chunks.select("ids", "known_id", "held", "counts", "tokens", "words").mapInArrow(_pair_buckets(p_bits), "bucket long, keys binary, counts binary")
     parts = pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segments, "bucket long, bytes long, bits binary")
     parts = materialise(parts, "segments")
-    passes: list[list[int]] = [[]]
-    used = 0
-    for b, z in parts.select("bucket", "bytes").orderBy("bucket").collect():  # a row per segment
-        if used and used + z > most_bytes:
-            passes.append([])
-            used = 0
-        passes[-1].append(b)
-        used += z
-    # A pair whose segment holds nothing is scored in the first pass.
-    held = {b for some in passes for b in some}
     mine = totals.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))
-    both = chunks.join(mine, "chunk")
-    out = None
-    for i, some in enumerate(passes):
-        rows = [(r.bucket, bytes(r.bits)) for r in parts.where(F.col("bucket").isin(some)).select("bucket", "bits").collect()] if some else []
-        wanted = set(some) | (set(range(1 << p_bits)) - held if i == 0 else set())
-        shared = spark.sparkContext.broadcast((p_bits, wanted, [(b, len(raw)) for b, raw in rows], b"".join(raw for _, raw in rows)))
-        del rows
-        if i == 0:
-            out = both.mapInArrow(_scores(shared, True, n, v, starts), "chunk long, row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        else:
-            more = both.mapInArrow(_scores(shared, False, n, v, starts), "chunk long, row long, more double")
-            out = out.join(more, ["chunk", "row"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
-    return out.drop("chunk", "row")
+    both = chunks.drop("train").join(mine, "chunk")
+    shared = None
+    if (parts.agg(F.sum("bytes")).first()[0] or 0) <= most_bytes:
+        lengths, raw = [], bytearray()
+        for r in parts.orderBy("bucket").toLocalIterator():  # at most ``most_bytes`` in all
+            lengths.append((r.bucket, len(r.bits)))
+            raw += r.bits
+        shared = spark.sparkContext.broadcast((p_bits, lengths, raw))
+        del raw
+    else:
+        asked = chunks.select("chunk", "ids", "known_id", "held", "counts", "tokens", "words").mapInArrow(_asked(p_bits), "bucket long, chunk long, raw binary")
+        own = parts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("raw"))
+        rows = asked.union(own).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+        answers = materialise(rows.mapInArrow(_answers, "chunk long, bucket long, levels binary"), "answers")
+        both = both.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers")), "chunk")
+    return both.mapInArrow(_scores(shared, n, v, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
