@@ -9,8 +9,9 @@ a pair of Jaccard similarity j with probability ``1 - (1 - j)**hashes``; at the
 that the interval allows that is over 0.9999.  Candidate pairs are then checked by the exact share
 of the item's shingles that the whole document holds.
 
-Items are read to the driver in blocks of ``block`` and each block's sketches go to the
-workers, so what is sent is bounded however long the table of items is.
+Items are read to the driver in blocks of at most ``block`` items and ``BLOCK_BYTES`` of text; each block's sketches go
+to the workers and its pairs are written before the next block is read.  So one block is alive at a
+time however long the table of items is, and each takes one scan of the documents.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ids_of, only, slices, text_buffers, texts
+from tidewater.llm.common import ids_of, materialise, only, slices, text_buffers, texts
 from tidewater.llm.kernels import U, Words, mix
 
 #: MinHash functions.
 HASHES = 48
 #: Items whose sketches are sent to the workers at a time.
 BLOCK = 20_000
+#: Bytes of item text in a block (a longer item goes alone).
+BLOCK_BYTES = 32 << 20
 
 
 class Index:
@@ -126,14 +129,22 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, num: int
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     schema = "doc_id long, item_id long, containment double"
     found = None
-    rows = items.toLocalIterator()
-    while True:
-        some = [r for _, r in zip(range(block), rows)]
-        if not some and found is not None:
-            break
-        index = Index([(r.item_id, r.text) for r in some], width, hashes, num, den)
-        got = docs.mapInArrow(_search(index), schema)
+    for some in _blocks(items.toLocalIterator(), block):
+        # Written at once, so the next block's index replaces this one's in the driver and the workers.
+        got = materialise(docs.mapInArrow(_search(Index(some, width, hashes, num, den)), schema), "matches")
         found = got if found is None else found.union(got)
-        if len(some) < block:
-            break
+    if found is None:
+        return docs.sparkSession.createDataFrame([], schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+
+
+def _blocks(rows: Iterator, most: int) -> Iterator[list[tuple[int, str]]]:
+    some, size = [], 0
+    for r in rows:
+        if some and (len(some) >= most or size + len(r.text) > BLOCK_BYTES):
+            yield some
+            some, size = [], 0
+        some.append((r.item_id, r.text))
+        size += len(r.text)
+    if some:
+        yield some
