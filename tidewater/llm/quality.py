@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.llm.common import bounded_batches, only, slices, text_buffers, texts
+from tidewater.llm.common import bounded_batches, hash_sample, only, slices, text_buffers, texts
 from tidewater.llm.kernels import Words
 
 #: Most labelled rows that training uses.
@@ -178,12 +178,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns ``quality`` (0 or 1) from at most ``sample`` labelled documents outside the held-out fold; repeated labels count once."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (fold != 0))
-    order = (F.xxhash64("doc_id"), "doc_id", "quality")
-    some = labels.distinct().orderBy(*order).limit(sample)
+    some = hash_sample(labels, ["doc_id", "quality"], ["doc_id"], sample)
     docs = texts(docs)
     # At most ``sample`` rows of 12 bytes, whatever the input's size.
     rows = docs.join(F.broadcast(some), "doc_id").mapInArrow(_measured, "doc_id long, quality int, x array<double>")
-    got = rows.orderBy(*order).limit(sample).select("quality", "x").collect()
+    # Of rows that repeat a doc_id one counts, the one with the smallest features, so at most ``sample`` rows come back.
+    got = rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id", "quality").collect()
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))
     return train(x, np.array([r.quality for r in got], float))
 

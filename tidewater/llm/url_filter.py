@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import text_buffers
+from tidewater.llm.common import hash_sample, text_buffers
 from tidewater.llm.kernels import BYTES, U, mix, range_hash
 
 BITS = 16
@@ -102,7 +102,7 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> Model:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` of the distinct judged rows (host, path, ruled), chosen by a hash of the url."""
-    rows = pages.where("ruled is not null").select("host", "path", "ruled").distinct().orderBy(F.xxhash64("host", "path"), "host", "path", "ruled").limit(sample).collect()
+    rows = hash_sample(pages.where("ruled is not null"), ["host", "path", "ruled"], ["host", "path"], sample).collect()
     return train([f"{r.host}\x00{r.path}" for r in rows], [int(r.ruled == "block") for r in rows])
 
 
