@@ -34,6 +34,8 @@ MAGIC = b"TWSST001"
 FOOTER = struct.Struct("<QQQQQQII8s")  # index at, its size, Bloom at, its size, documents, ids, Bloom hashes, 0, magic
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: About the most text bytes and documents in a shard, whatever the input's size.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
 
 
 def key_of(doc_id: int, number: int) -> bytes:
@@ -191,7 +193,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None) ->
     """
     rows = texts(docs).where("doc_id is not null")
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.bytes or 0) // SHARD_BYTES), -(-size.n // SHARD_DOCS))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     return materialise(rows.mapInArrow(_write(folder, tokenizer or default_path()), "shard long, name string, low long, n_ids long, n_docs long"), "manifest")
 
