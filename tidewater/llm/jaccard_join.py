@@ -64,10 +64,10 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray, bits: int | None = None) -> bytes:
-    """Parity sketch of a set: by default as many bits as the power of two from twice its size (64 to 32768)."""
+    """Parity sketch of a set: by default as many bits as the power of two from its size (64 to 32768)."""
     if bits is None:
         bits = 64
-        while bits < 2 * len(s) and bits < 32768:
+        while bits < len(s) and bits < 32768:
             bits *= 2
     odd = np.bincount(((s >> U(17)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
@@ -161,12 +161,13 @@ def _postings(width: int, num: int, den: int):
                         continue
                     seen.add(node)
                     got = signatures(s, ends, num, den)
-                    sigs.append(got)
+                    # 48 bits: sets that meet by chance part in the sieve, and rows compress better.
+                    sigs.append(got >> U(16))
                     nodes.append(np.full(len(got), node, np.int64))
                 if len(seen) > 1 << 20:
                     seen.clear()
                 if sigs:
-                    yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                    yield pa.record_batch([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sigs).view(np.int64))], ["node", "sig"])
 
     return run
 
@@ -391,8 +392,8 @@ def jaccard_links(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100
     classes = materialise(classes, "classes")
     sketches = classes.select("node", "n", "sketch")
 
-    posted = docs.mapInArrow(_postings(width, num, den), "sig long, node long")
-    met = posted.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_leads, "lead long, second long, node long").distinct()
+    posted = docs.mapInArrow(_postings(width, num, den), "node long, sig long")
+    met = posted.repartition("sig").sortWithinPartitions("sig", "node").select("sig", "node").mapInArrow(_leads, "lead long, second long, node long").distinct()
     met = materialise(met, "met")
     # Where a lead has too many members for one sieve, those of its blocks that agree in the second node, too, form a group.
     wide = F.when(F.col("size") > 2 * SIEVE_CHUNK, F.xxhash64("lead", "second")).otherwise(F.col("lead"))
