@@ -18,9 +18,9 @@ def _cast(col: Column, kind: str, mode: str) -> Column:
 
 
 def to_integer(col: Column, kind: str = "int", strip: bool = True, mode: str = "try") -> Column:
-    """Integer of a string: surrounding white space is allowed only with ``strip``; ``12.9`` gives 12 in try mode."""
+    """Integer of a string: surrounding characters up to the space are allowed only with ``strip``; ``12.9`` gives 12 in try mode."""
     if mode == "try":
-        whole = F.regexp_replace(F.trim(col), r"^([+-]?[0-9]+)\.[0-9]*$", "$1")
+        whole = F.regexp_replace(F.regexp_replace(col, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"^([+-]?[0-9]+)\.[0-9]*$", "$1")
         whole = F.regexp_replace(whole, r"^([+-]?)\.[0-9]+$", "$10")
         out = whole.try_cast(kind)
     else:
@@ -55,11 +55,13 @@ def to_base(col: Column, base: int, width: int = 64) -> Column:
 
 
 def from_base(col: Column, base: int) -> Column:
-    """Long of the leading valid digits of a text in base 10 or 16; null without any."""
+    """Long of the leading valid digits of a text in base 10 or 16, as 64 bits; null without any, or if they exceed 64 unsigned bits."""
     if base not in (10, 16):
         raise ValueError("base must be 10 or 16")
     digits = F.regexp_extract(col, r"^\s*(-?[0-9]+)" if base == 10 else r"^\s*(-?[0-9A-Fa-f]+)", 1)
-    return F.when(digits != "", F.conv(digits, base, -10).try_cast("long"))
+    bare, most = F.upper(F.regexp_replace(digits, "^-?0*", "")), "18446744073709551615" if base == 10 else "F" * 16
+    fits = (F.length(bare) < len(most)) | ((F.length(bare) == len(most)) & (bare <= most))
+    return F.conv(F.when((digits != "") & fits, digits), base, -10).try_cast("long")
 
 
 def convert_base(col: Column, source: Column | int, target: Column | int) -> Column:

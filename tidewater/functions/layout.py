@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,43 +16,52 @@ def interleave_bits(cols: Sequence[Column], bits: int = 32) -> Column:
         return F.lit(b"")
     if bits not in (8, 16, 32, 64):
         raise ValueError("bits must be 8, 16, 32 or 64")
-    texts = [F.lpad(F.bin(F.coalesce(c, F.lit(0)).cast("long").bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))), bits, "0") for c in cols]
-    digits = F.concat(*(F.substring(t, i, 1) for i in range(1, bits + 1) for t in texts))
-    return F.unhex(F.concat(*(F.lpad(F.conv(F.substring(digits, i, 8), 2, 16), 2, "0") for i in range(1, bits * len(cols) + 1, 8))))
+    xs = [F.coalesce(c, F.lit(0)).cast("long") for c in cols]
+    n, out = len(cols), []
+    for at in range(0, bits * n, 64):  # eight bytes at a time
+        size = min(64, bits * n - at)
+        terms = []
+        for k in range(size):
+            level, col = divmod(at + k, n)
+            terms.append(F.shiftleft(F.shiftright(xs[col], bits - 1 - level).bitwiseAND(F.lit(1).cast("long")), size - 1 - k))
+        while len(terms) > 1:
+            terms = [x.bitwiseOR(y) for x, y in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2 :]
+        out.append(F.unhex(F.lpad(F.hex(terms[0]), size // 4, "0")))
+    return F.concat(*out)
 
 
 def hilbert_index(cols: Sequence[Column], bits: int) -> Column:
     """Hilbert curve index (long) of non-negative integer columns of ``bits`` bits each; null counts as 0.
 
-    One fold over the bits, from the highest, with the coordinates as an array: at each bit every
-    axis either reflects the first axis's lower bits or swaps them with its own.
+    Its steps feed on each other's results, which as nested expressions would be repeated or interpreted, so
+    a vectorised UDF takes them, over whole Arrow batches.
     """
     n = len(cols)
     if not 0 < bits <= 32 or bits * n > 64 or not n:
         raise ValueError("bits must be 1 to 32 and at most 64 over all columns")
-    start = F.array(*(F.coalesce(c, F.lit(0)).cast("long") for c in cols))
-
-    def undo(x: Column, q: Column) -> Column:
-        low = q - 1
-
-        def axis(state: Column, i: Column) -> Column:
-            first, own = F.element_at(state, 1), F.element_at(state, i)
-            swap = first.bitwiseXOR(own).bitwiseAND(low)
-            reflected = first.bitwiseXOR(low)
-            hit = own.bitwiseAND(q) != 0
-            new_first = F.when(hit, reflected).otherwise(first.bitwiseXOR(swap))
-            new_own = F.when(hit, own).otherwise(own.bitwiseXOR(swap))
-            return F.transform(state, lambda v, k: F.when(k == 0, new_first).when(k == i - 1, new_own).otherwise(v))
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), x, axis)
-
-    axes = F.aggregate(F.array(*(F.lit(1 << b) .cast("long") for b in range(bits - 1, 0, -1))), start, undo) if bits > 1 else start
-    gray = F.aggregate(F.sequence(F.lit(2), F.lit(n)), axes, lambda s, i: F.transform(s, lambda v, k: F.when(k == i - 1, v.bitwiseXOR(F.element_at(s, i - 1))).otherwise(v))) if n > 1 else axes
-    last = F.element_at(gray, n)
-    flip = F.aggregate(F.array(*(F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1))), F.lit(0).cast("long"), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)) if bits > 1 else F.lit(0).cast("long")
-    done = F.transform(gray, lambda v: v.bitwiseXOR(flip))
-    take = [F.struct(F.lit(i).alias("i"), F.lit(b).alias("b")) for b in range(bits - 1, -1, -1) for i in range(1, n + 1)]
-    return F.aggregate(F.array(*take), F.lit(0).cast("long"), lambda acc, s: F.shiftleft(acc, 1).bitwiseOR(F.call_function("shiftright", F.element_at(done, s.i), s.b).bitwiseAND(F.lit(1).cast("long"))))
+
+    @F.pandas_udf("long")
+    def index(axes: pd.DataFrame) -> pd.Series:
+        x = [axes.iloc[:, i].to_numpy(np.int64) for i in range(n)]
+        for b in range(bits - 1, 0, -1):
+            low = np.int64((1 << b) - 1)
+            for i in range(n):
+                hit = (x[i] >> b & 1).astype(bool)
+                swap = np.where(hit, 0, (x[0] ^ x[i]) & low)
+                x[0] = np.where(hit, x[0] ^ low, x[0] ^ swap)
+                x[i] = x[0] if i == 0 else x[i] ^ swap
+        for i in range(1, n):
+            x[i] = x[i] ^ x[i - 1]
+        flip = np.zeros(len(axes), np.int64)
+        for b in range(bits - 1, 0, -1):
+            flip ^= np.where(x[-1] >> b & 1, np.int64((1 << b) - 1), np.int64(0))
+        out = np.zeros(len(axes), np.int64)
+        for b in range(bits - 1, -1, -1):
+            for v in x:
+                out = out << 1 | (v ^ flip) >> b & 1
+        return pd.Series(out)
+
+    return index(F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(f"x{i}") for i, c in enumerate(cols))))
 
 
 def cluster_by(df: DataFrame, key: Column, partitions: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +19,76 @@ def json_paths(col: Column, paths: Sequence[str]) -> Column:
     return F.struct(*(F.get_json_object(col, p).alias(f"p{i}") for i, p in enumerate(paths)))
 
 
+_STRING = r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\''
+_TOKEN = re.compile(rf"\s*(?:({_STRING})|(-?[0-9][0-9.eE+-]*|true|false|null)|([{{}}\[\],:]))", re.DOTALL)
+#: Objects whose values all come out of the JVM's parser as they are written.
+_FLAT = r'^\s*\{\s*(?:"[^"\\]*"\s*:\s*(?:"[^"\\]*"|-?[0-9]{1,18}|true|false)\s*(?:,(?!\s*\})\s*|(?=\})))*\}\s*$'
+
+
+def _unquoted(text: str) -> str:
+    if text[0] == "'":
+        text = '"' + text[1:-1].replace("\\'", "'").replace('"', '\\"') + '"'
+    return json.loads(text, strict=False)
+
+
+def raw_fields(text: str) -> list[tuple[str, str | None]] | None:
+    """The fields of a JSON object with nested values and numbers as they are written; None for other texts."""
+    out, stack, at, key, begin, want = [], [], 0, None, 0, "start"
+    text = text.rstrip()
+    while at < len(text) or want != "end":
+        m = _TOKEN.match(text, at)
+        if not m or want == "end":
+            return None
+        string, scalar, sign = m.groups()
+        start, at = m.end() - len(string or scalar or sign), m.end()
+        if want == "start":
+            if sign != "{":
+                return None
+            stack, want = ["{"], "key or end"
+        elif want in ("key", "key or end") and string:
+            key, want = string if len(stack) == 1 else key, "colon"
+        elif want == "colon" and sign == ":":
+            want = "value"
+            begin = None if len(stack) == 1 else begin
+        elif want in ("value", "value or end") and (string or scalar or sign in ("{", "[")):
+            begin = start if len(stack) == 1 else begin
+            if sign:
+                stack.append(sign)
+                want = "key or end" if sign == "{" else "value or end"
+            else:
+                want = "more"
+                if len(stack) == 1:
+                    out.append((_unquoted(key), _unquoted(string) if string else None if scalar == "null" else scalar))
+        elif want == "more" and sign == ",":
+            want = "key" if stack[-1] == "{" else "value"
+        elif want in ("more", "key or end", "value or end") and sign and sign == {"{": "}", "[": "]"}[stack[-1]]:
+            stack.pop()
+            want = "more" if stack else "end"
+            if len(stack) == 1:
+                out.append((_unquoted(key), text[begin:at]))
+        else:
+            return None
+    return out
+
+
+def _fields(texts: pd.Series) -> pd.Series:
+    def fields(text: str | None) -> list[dict] | None:
+        got = None if text is None else raw_fields(text)
+        return None if got is None else [{"key": k, "value": v} for k, v in dict(got).items()]
+
+    return texts.map(fields)
+
+
 def json_map(col: Column) -> Column:
-    """MAP<STRING,STRING> of a JSON object's fields; null for other texts."""
-    return F.from_json(col, "map<string,string>", {"allowSingleQuotes": "true"})
+    """MAP<STRING,STRING> of a JSON object's fields; null for other texts.
+
+    Values are verbatim, but strings come without their quotes and escapes and null is null; of a repeated
+    field the last counts.  Flat objects are read in the JVM, others by a vectorised UDF.
+    """
+    flat = F.coalesce(F.regexp_like(col, F.lit(_FLAT)), F.lit(False))
+    easy = F.from_json(F.when(flat, col), "map<string,string>")
+    others = F.pandas_udf(_fields, "array<struct<key:string,value:string>>")(F.when(~flat, col))
+    return F.when(flat, easy).otherwise(F.map_from_entries(others))
 
 
 def typed(col: Column, kind: T.DataType) -> Column:
@@ -54,7 +124,8 @@ def slice_list(col: Column, start: Column | int, length: Column | int, checked:
 
 
 def sort_map(col: Column, descending: bool = False) -> Column:
-    entries = F.array_sort(F.map_entries(col))
+    """The map with its entries in order of their keys; values may be of any type, maps too."""
+    entries = F.array_sort(F.map_entries(col), lambda x, y: F.when(x.key < y.key, -1).when(x.key > y.key, 1).otherwise(0))
     return F.map_from_entries(F.reverse(entries) if descending else entries)
 
 

@@ -6,8 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def multiply(a: Column, b: Column, mode: str = "try") -> Column:
-    """Product; on overflow ``try`` gives null, ``ansi`` fails and ``wrap`` (longs) keeps the low 64 bits."""
+_WIDTHS = {8: "byte", 16: "short", 32: "int", 64: "long"}
+
+
+def multiply(a: Column, b: Column, mode: str = "try", bits: int = 64) -> Column:
+    """Product; on overflow ``try`` gives null, ``ansi`` fails and ``wrap`` keeps the low ``bits`` (the integers' width: 8, 16, 32 or 64)."""
+    if mode == "wrap" and bits < 64:
+        product = a.cast("long") * b.cast("long")
+        return F.shiftright(F.shiftleft(product, 64 - bits), 64 - bits).cast(_WIDTHS[bits])
     if mode == "wrap":
         whole = F.lit(str(2**64)).cast("decimal(20,0)")
         low = F.pmod(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), whole)

@@ -16,15 +16,16 @@ BLOOM_BITS = 1 << 23
 def histogram(df: DataFrame, groups: Sequence[str], value: str, freq: str | None = None) -> DataFrame:
     """Per group the array of (value, freq); counted in two steps so only distinct values are gathered.
 
-    A null or negative ``freq`` fails the query; values whose frequencies sum to 0 are left out.
+    A null or negative ``freq`` fails the query; values whose frequencies sum to 0 are left out, and a group of such values only has a null.
     """
     if freq is None:
         n = F.count("*")
     else:
         bad = F.col(freq).isNull() | (F.col(freq) < 0)
         n = F.sum(F.when(bad, F.raise_error(F.lit("a frequency must not be null or negative")).cast("long")).otherwise(F.col(freq)))
-    counts = df.groupBy(*groups, value).agg(n.alias("freq")).where("freq > 0")
-    return counts.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "freq"))).alias("histogram"))
+    counts = df.groupBy(*groups, value).agg(n.alias("freq"))
+    some = F.collect_list(F.when(F.col("freq") > 0, F.struct(F.col(value).alias("value"), "freq")))
+    return counts.groupBy(*groups).agg(F.when(F.size(some) > 0, F.array_sort(some)).alias("histogram"))
 
 
 def percentiles(value: Column, freq: Column, points: Sequence[float]) -> Column:
@@ -39,7 +40,11 @@ def hll_registers(df: DataFrame, groups: Sequence[str], value: str, precision: i
     h = F.xxhash64(value)
     index = F.shiftrightunsigned(h, 64 - precision)
     rest = F.shiftleft(h, precision).bitwiseOR(F.lit(1 << (precision - 1)).cast("long"))
-    rank = 65 - F.length(F.bin(rest))
+    # With all bits below the highest one set, their number tells how many zeros lead.
+    filled = rest
+    for shift in (1, 2, 4, 8, 16, 32):
+        filled = filled.bitwiseOR(F.shiftrightunsigned(filled, shift))
+    rank = 65 - F.bit_count(filled)
     return df.where(F.col(value).isNotNull()).groupBy(*groups, index.alias("index")).agg(F.max(rank).alias("rank"))
 
 

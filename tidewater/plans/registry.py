@@ -70,21 +70,6 @@ _project("filter_like", "part", {"k": "p_partkey"}, "p_partkey AS k", "p_type LI
 _PAIR = [("l_orderkey", "o_orderkey")]
 
 
-def _join_sum(t: Load, how: str, strategy: str | None, nulls_equal: bool = False) -> DataFrame:
-    o = t("orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
-    lines = t("lineitem").select("l_orderkey", "l_linenumber")
-    out = joins.join(lines, o, _PAIR, how, nulls_equal=nulls_equal, strategy=strategy)
-    price = F.sum("o_totalprice") if how not in ("left_semi", "left_anti") else F.lit(0.0)
-    return out.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"), F.round(price, 0).alias("price"))
-
-
-for _name, _how, _kind in (("inner", "inner", "JOIN"), ("left", "left", "LEFT JOIN"), ("right", "right", "RIGHT JOIN"), ("full", "full", "FULL JOIN"), ("semi", "left_semi", "SEMI JOIN"), ("anti", "left_anti", "ANTI JOIN")):
-    _price = "round(sum(o_totalprice), 0)" if _how not in ("left_semi", "left_anti") else "CAST(0.0 AS DOUBLE)"
-    _sql = f"SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines, {_price} AS price FROM lineitem {_kind} (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0) o ON l_orderkey = o_orderkey"
-    for _strategy in ("merge", "hash") if _name == "inner" else (None,):
-        _add(f"join_{_name}" + (f"_{_strategy}" if _strategy else ""), _sql)(partial(_join_sum, how=_how, strategy=_strategy))
-
-
 def _join_whole(t: Load, how: str, strategy: str | None, residual: bool) -> DataFrame:
     lines, o = t("lineitem"), t("orders")
     cond = lines["l_extendedprice"] > o["o_totalprice"] / 2 if residual else None
@@ -93,7 +78,7 @@ def _join_whole(t: Load, how: str, strategy: str | None, residual: bool) -> Data
     return out.agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"), cents.alias("cents"))
 
 
-# The same forms over whole tables: orders without lines are unmatched by nature, lines are by the residual.
+# Orders without lines are unmatched by nature, lines are by the residual.
 for _name, _how, _kind, _residual in (("inner", "inner", "JOIN", False), ("left", "left", "LEFT JOIN", True), ("right", "right", "RIGHT JOIN", False), ("full", "full", "FULL JOIN", True), ("semi", "left_semi", "SEMI JOIN", True), ("anti", "left_anti", "ANTI JOIN", True)):
     _cents = "sum(round(o_totalprice * 100)::BIGINT)::BIGINT" if _how not in ("left_semi", "left_anti") else "CAST(0 AS BIGINT)"
     _sql = f"SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS lines, {_cents} AS cents FROM lineitem {_kind} orders ON l_orderkey = o_orderkey" + (" AND l_extendedprice > o_totalprice / 2" if _residual else "")
@@ -108,6 +93,15 @@ _add("join_residual_left", "SELECT count(*) AS n, count(l_orderkey) AS matched F
 _add("join_matched_mask", "SELECT o_orderkey AS k, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS matched FROM orders")(
     lambda t: joins.with_matches(t("orders").select(c("o_orderkey").alias("k"), "o_custkey"), t("customer").where("c_acctbal > 5000"), [("o_custkey", "c_custkey")]).select("k", "matched")
 )
+_add("join_broadcast", "SELECT count(*) AS n, sum(s_suppkey)::BIGINT AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey")(
+    lambda t: joins.join(t("supplier"), t("nation"), [("s_nationkey", "n_nationkey")], strategy="broadcast").agg(F.count("*").alias("n"), F.sum("s_suppkey").alias("s"))
+)
+_add("join_as_of", "SELECT p.event_id AS e, c.event_id AS last_click FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) c ON p.user_id = c.user_id AND p.ts >= c.ts")(
+    lambda t: joins.as_of(t("events").where("event_type = 'purchase'").select("user_id", "ts", c("event_id").alias("e")), t("events").where("event_type = 'click'").select("user_id", "ts", c("event_id").alias("last_click")), ["user_id"], "ts", ["last_click"]).select("e", "last_click")
+)
+_add("join_in_range", "SELECT n_nationkey AS k, count(*) AS n FROM customer JOIN nation ON c_acctbal >= n_nationkey * 300 - 1000 AND c_acctbal < n_nationkey * 300 - 1000 + 450 GROUP BY 1")(
+    lambda t: joins.in_range(t("customer"), t("nation").select(c("n_nationkey").alias("k"), (c("n_nationkey") * 300 - 1000).alias("low"), (c("n_nationkey") * 300 - 550).alias("high")), "c_acctbal", "low", "high", 250.0).groupBy("k").agg(F.count("*").alias("n"))
+)
 _add("join_empty_side", "SELECT count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey < 0) ON o_custkey = c_custkey")(
     lambda t: joins.join(t("orders"), t("customer").where("c_custkey < 0"), [("o_custkey", "c_custkey")], "left").agg(F.count("*").alias("n"))
 )
@@ -241,6 +235,8 @@ _project("cast_double_to_string", "events", {"e": "event_id", "s": lambda: c("va
 _project("format_number", "customer", {"k": "c_custkey", "s": lambda: F.format_number(F.round("c_acctbal", 0).cast("long"), 0)}, "c_custkey AS k, format('{:,}', CAST(round(c_acctbal, 0) AS BIGINT)) AS s")
 _project("cast_decimal_to_string", "customer", {"k": "c_custkey", "s": lambda: c("c_acctbal").cast("decimal(12,2)").cast("string")}, "c_custkey AS k, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS s")
 _project("cast_long_to_binary", "orders", {"k": "o_orderkey", "b": lambda: F.bin("o_orderkey")}, "o_orderkey AS k, bin(o_orderkey) AS b")
+_project("cast_string_control_characters", "part", {"k": "p_partkey", "v": lambda: casts.to_integer(F.concat(F.lit("\t\x01 "), c("p_size").cast("string"), F.lit(".9\x1f\n")))}, "p_partkey AS k, p_size AS v")
+_project("string_from_base_overflow", "orders", {"k": "o_orderkey", "v": lambda: casts.from_base(F.concat(F.when(c("o_orderkey") % 2 == 0, "99999999999999999999").otherwise(""), c("o_orderkey").cast("string")), 10)}, "o_orderkey AS k, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS v")
 _project("string_from_base", "orders", {"k": "o_orderkey", "v": lambda: casts.from_base(F.concat(F.hex("o_orderkey"), F.lit("xyz")), 16)}, "o_orderkey AS k, o_orderkey AS v")
 _project("integer_to_base", "orders", {"k": "o_orderkey", "h": lambda: casts.to_base(c("o_orderkey"), 16), "d": lambda: casts.to_base(c("o_orderkey"), 10)}, "o_orderkey AS k, hex(o_orderkey) AS h, CAST(o_orderkey AS VARCHAR) AS d")
 _project("cast_string_to_timestamp", "orders", {"k": "o_orderkey", "u": lambda: F.unix_micros(casts.to_timestamp(F.concat(c("o_orderdate").cast("string"), F.lit("+01:00"))))}, "o_orderkey AS k, epoch_us(o_orderdate) - 3600000000 AS u")
@@ -260,6 +256,7 @@ _project("url_query_key", "pages", {"p": "page_id", "x": lambda: nested.url_part
 _project("url_query_key_column", "pages", {"p": "page_id", "x": lambda: nested.url_part(c("url"), "QUERY", F.when(c("page_id") % 2 == 0, "ref").otherwise("page"))}, "page_id AS p, nullif(CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '[?&]ref=([^&#]*)', 1) ELSE regexp_extract(url, '[?&]page=([^&#]*)', 1) END, '') AS x")
 
 # Numbers
+_project("multiply_wrap_int", "part", {"k": "p_partkey", "x": lambda: numbers.multiply(c("p_size"), F.lit(2147483647), "wrap", 32)}, "p_partkey AS k, CAST(((p_size::HUGEINT * 2147483647 + 2147483648) % 4294967296) - 2147483648 AS INTEGER) AS x")
 _project("multiply_wrap", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "x": lambda: numbers.multiply(c("l_orderkey"), F.lit(6148914691236517205), "wrap")}, "l_orderkey AS k, l_linenumber AS n, CAST(CASE WHEN (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 >= 9223372036854775808 THEN (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 - 18446744073709551616 ELSE (l_orderkey::HUGEINT * 6148914691236517205) % 18446744073709551616 END AS BIGINT) AS x")
 _project("multiply_try", "lineitem", {"k": "l_orderkey", "n": "l_linenumber", "x": lambda: numbers.multiply(c("l_orderkey"), c("l_partkey")), "big": lambda: numbers.multiply(c("l_orderkey") + F.lit(2**61), F.lit(4).cast("long"))}, "l_orderkey AS k, l_linenumber AS n, l_orderkey * l_partkey AS x, CAST(NULL AS BIGINT) AS big")
 _project("round_half_up", "customer", {"k": "c_custkey", "r": lambda: numbers.round_half_up(c("c_custkey") * 5, -1)}, "c_custkey AS k, ((c_custkey * 5 + 5) // 10) * 10 AS r")
@@ -287,6 +284,7 @@ for _bits in (224, 256, 384, 512):
 # JSON
 _project("json_path", "events", {"e": "event_id", "k": lambda: F.get_json_object("props", "$.k")}, "event_id AS e, props ->> '$.k' AS k")
 _project("json_paths", "events", {"e": "event_id", "p": lambda: nested.json_paths(c("props"), ["$.k", "$.none"])["p0"], "q": lambda: nested.json_paths(c("props"), ["$.k", "$.none"])["p1"]}, "event_id AS e, props ->> '$.k' AS p, props ->> '$.none' AS q")
+_project("json_map_nested", "events", {"e": "event_id", "a": lambda: nested.json_map(F.concat(F.lit('{"a": {"b" :  1.50}, "p" :'), c("props"), F.lit(', "n": 1.50}')))["a"], "p": lambda: nested.json_map(F.concat(F.lit('{"a": [1,  "}"], "p" : '), c("props"), F.lit("}")))["p"]}, """event_id AS e, '{"b" :  1.50}' AS a, props AS p""")
 _project("json_map", "events", {"e": "event_id", "k": lambda: nested.json_map(c("props"))["k"]}, "event_id AS e, props ->> '$.k' AS k")
 _project("json_struct", "events", {"e": "event_id", "k": lambda: F.from_json("props", "k INT")["k"]}, "event_id AS e, CAST(props ->> '$.k' AS INTEGER) AS k")
 _project("json_remove_quotes", "customer", {"k": "c_custkey", "s": lambda: nested.remove_quotes(F.concat(F.lit('"'), c("c_name"), F.lit('"'))), "b": lambda: nested.remove_quotes(c("c_name"), True)}, "c_custkey AS k, c_name AS s, CAST(NULL AS VARCHAR) AS b")
@@ -298,6 +296,7 @@ _project("json_typed", "events", {"e": "event_id", "x": lambda: nested.typed(F.s
 # Arrays and maps
 _project("array_slice", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), -5, 3)), "y": lambda: nested.slice_list(c("embedding"), F.lit(2), F.lit(1))[0]}, "vec_id AS v, CAST(3 AS INTEGER) AS x, embedding[2] AS y")
 _project("array_slice_unchecked", "embeddings", {"v": "vec_id", "x": lambda: F.size(nested.slice_list(c("embedding"), (c("vec_id") % 2).cast("int"), F.lit(4), checked=False))}, "vec_id AS v, CAST(CASE WHEN vec_id % 2 = 0 THEN 0 ELSE 4 END AS INTEGER) AS x")
+_project("map_sort_nested", "nation", {"k": "n_nationkey", "first": lambda: F.map_values(nested.sort_map(F.create_map(F.lit("b"), F.create_map(F.lit("x"), c("n_name")), F.lit("a"), F.create_map(F.lit("x"), c("n_nationkey").cast("string")))))[0]["x"]}, "n_nationkey AS k, n_nationkey::VARCHAR AS first")
 _project("map_sort", "nation", {"k": "n_nationkey", "first": lambda: F.map_keys(nested.sort_map(F.create_map(F.lit("b"), c("n_name"), F.lit("a"), c("n_name")), True))[0]}, "n_nationkey AS k, 'b' AS first")
 _project("map_zip", "nation", {"k": "n_nationkey", "x": lambda: nested.zip_maps(F.create_map(F.lit("a"), c("n_nationkey")), F.create_map(F.lit("b"), c("n_regionkey")))["b"]["b"]}, "n_nationkey AS k, n_regionkey AS x")
 
