@@ -64,9 +64,9 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray, bits: int | None = None) -> bytes:
-    """Parity sketch of a set: by default as many bits as the power of two from its size (64 to 32768)."""
+    """Parity sketch of a set: by default as many bits as the power of two from its size (256 to 32768)."""
     if bits is None:
-        bits = 64
+        bits = 256
         while bits < len(s) and bits < 32768:
             bits *= 2
     odd = np.bincount(((s >> U(17)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
