@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import discard, materialise
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Distinct edges (u, v), u > v, that connect what the edges (u, v) given connect, and never more of them.
+
+    A node stays linked with its smallest neighbour below it, and its other neighbours below it are linked with
+    that one instead; nodes of overlapping stars name the same few edges there, which fall together.
+    """
+    ends = edges.where("u is not null and v is not null and u <> v")
+    ends = ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = ends.withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    return least.select(F.when(F.col("v") > F.col("least"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v")).distinct()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; component is its smallest reachable node.
 
@@ -15,8 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     that label.  Rounds end when no label changes, so any graph comes out exact.  Labels live in
     the shared folder between rounds.  Edges with a null end and self-links are left out.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    links = materialise(links.union(links.select("v", "u")).distinct(), "links")
+    links = thinned(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))
+    links = materialise(links.union(links.select("v", "u")), "links")
     labels = materialise(links.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
     stored = labels
     while True:
