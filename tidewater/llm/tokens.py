@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
+import pandas as pd
 
 from tidewater.llm.common import caches
 from tidewater.llm.kernels import BYTES, U, range_hash
@@ -13,8 +15,8 @@ from tidewater.llm.kernels import BYTES, U, range_hash
 REMEMBERED = 900_000
 #: Bytes of text encoded at a time.
 SLICE = (1 << 20) - 4096
-#: White space outside ASCII, as UTF-8 (fixed values of Unicode).
-_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: White space outside ASCII, its UTF-8 bytes as one number (fixed values of Unicode).
+_WIDE = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 _CLOSING = np.frombuffer(b".,!?;:", np.uint8)
 
@@ -34,15 +36,16 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(data)
     ends = (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31))
     starts = ends
-    raw = data.tobytes()
-    for wide in _WIDE:
-        at = raw.find(wide)
-        if at >= 0 and starts is ends:
-            starts = ends.copy()
-        while at >= 0:
-            starts[at] = True
-            ends[at + len(wide) - 1] = True
-            at = raw.find(wide, at + 1)
+    # UTF-8 texts end with a whole character, so the bytes after a lead byte are there.
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        long = data[lead] != 0xC2
+        code = (data[lead].astype(np.int64) << 8) | data[lead + 1]
+        code[long] = (code[long] << 8) | data[lead[long] + 2]
+        wide = np.isin(code, _WIDE)
+        starts = ends.copy()
+        starts[lead[wide]] = True
+        ends[(lead + 1 + long)[wide]] = True
     first = np.zeros(n + 1, bool)
     first[offs] = True
     before = np.zeros(n, bool)
@@ -82,17 +85,20 @@ class Encoder:
         docs = len(offs) - 1
         start = cuts(data, offs)
         end = np.append(start[1:], len(data))[: len(start)]
-        _, lead, which = np.unique(range_hash(data.astype(U) + U(1), start, end, BYTES) if len(start) else np.zeros(0, U), return_index=True, return_inverse=True)
+        which, _ = pd.factorize(range_hash(data.astype(U) + U(1), start, end, BYTES) if len(start) else np.zeros(0, U))
+        top = np.maximum.accumulate(which) if len(which) else which  # numbers are given in order of first sight
+        lead = np.flatnonzero(np.diff(top, prepend=-1))
         raw = data.tobytes()
         pieces = [raw[a:b] for a, b in zip(start[lead].tolist(), end[lead].tolist())]
         if len(self.known) + len(pieces) > REMEMBERED // 2:  # what the last half didn't meet is forgotten
             self.older, self.known = self.known, {}
-        if self.older:
-            self.known.update((p, self.older[p]) for p in pieces if p not in self.known and p in self.older)
         new = [p for p in pieces if p not in self.known]
+        if self.older and new:
+            self.known.update((p, self.older[p]) for p in new if p in self.older)
+            new = [p for p in new if p not in self.known]
         if new:
             for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+                self.known[p] = array("I", e.ids).tobytes()
         each = [self.known[p] for p in pieces] + [bytes(4)]  # the last is the end of a document
         size = np.array([len(x) >> 2 for x in each])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
