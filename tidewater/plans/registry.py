@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import casts, catalyst, layout, nested, numbers, times
 from tidewater.operators import aggregates, joins
+from tidewater.plans import edges
 from tidewater.sources import tables
 from tidewater.streaming import windows
 
@@ -335,8 +336,8 @@ def _flagship(t: Load) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, f=f: f(partial(tables.table, spark, sf_dir)) for name, f in _QUERIES.items()}
+    return {name: lambda spark, sf_dir, f=f: f(partial(tables.table, spark, sf_dir)) for name, f in (_QUERIES | edges.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | edges.SQL
