@@ -102,6 +102,24 @@ def julian_to_gregorian_days(col: Column) -> Column:
     return F.when(col >= CUTOVER, col.cast("long")).otherwise(F.unix_date(F.make_date(year.cast("int"), month.cast("int"), F.lit(1))).cast("long") + day - 1)
 
 
+#: Julian days of 29 February 1500 (since 1970), and of 100 years.
+_LEAP_1500, _CENTURY = -171596, 36_525
+
+
+def _lacks(col: Column, day: int) -> Column:
+    since = col.cast("long") - _LEAP_1500 * day
+    of_400 = F.pmod(since, F.lit(4 * _CENTURY * day))
+    return (col < CUTOVER * day) & (F.pmod(since, F.lit(_CENTURY * day)) < day) & ((of_400 < _CENTURY * day) | (of_400 >= _CENTURY * day + day))
+
+
+def gregorian_lacks(col: Column) -> Column:
+    """Whether the Julian date of a day before 1582-10-15 (days since 1970) is a 29 February that the Gregorian year lacks.
+
+    Two days become one there, so these alone don't return from ``julian_to_gregorian_days`` and back, but as the day after.
+    """
+    return _lacks(col, 1)
+
+
 _DAY = 86_400_000_000
 
 
