@@ -21,3 +21,11 @@ def test_days_that_the_gregorian_calendar_lacks(spark, tmp_path):
     assert sorted((r.id, r.back) for r in days.where("back <> id").collect()) == [(d, d + 1) for d in LOST]
     assert sorted(r.id for r in days.where("lost").collect()) == LOST
     assert same(spark, tmp_path, "rebase_round_trip", 0, 150_000) == {True: 150_000}
+
+
+def test_times_of_such_days(spark, tmp_path):
+    day = 86_400_000_000
+    for at in (LOST[2] * day, LOST[2] * day + day - 1):
+        r = spark.range(1).select(times.gregorian_to_julian_micros(times.julian_to_gregorian_micros(F.lit(at))).alias("back"), times.gregorian_lacks_micros(F.lit(at)).alias("lost")).first()
+        assert r.back == at + day and r.lost
+    assert same(spark, tmp_path, "rebase_micros_round_trip", 372_000, 373_000) == {True: 1000}

@@ -136,3 +136,8 @@ def gregorian_to_julian_micros(col: Column) -> Column:
 def julian_to_gregorian_micros(col: Column) -> Column:
     """Microseconds (UTC) moved as their day is; the time of day stays."""
     return _by_day(col, julian_to_gregorian_days)
+
+
+def gregorian_lacks_micros(col: Column) -> Column:
+    """``gregorian_lacks`` of the day of microseconds (UTC)."""
+    return _lacks(col, _DAY)
