@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import catalyst
 
-#: Most bits of a Bloom filter with a chosen number of hashes: its words become one array of 1 MB at most.
+#: Most bits of a Bloom filter with a chosen number of hashes whose words become one array (1 MB); a larger one is cut into segments.
 BLOOM_BITS = 1 << 23
+#: Bits of a segment; a value's bits all lie in one, so a probe of a larger filter is one join.
+BLOOM_SEGMENT = 1 << 16
 
 
 def histogram(df: DataFrame, groups: Sequence[str], value: str, freq: str | None = None) -> DataFrame:
@@ -67,6 +69,15 @@ def hll_estimate(registers: DataFrame, groups: Sequence[str], precision: int = 9
     return registers.groupBy(*groups).agg(F.round(est).cast("long").alias("estimate"))
 
 
+def _bloom_size(bits: int) -> int:
+    unit = 64 if bits <= BLOOM_BITS else BLOOM_SEGMENT
+    return -(-bits // unit) * unit
+
+
+def _bloom_segment(col: Column, bits: int) -> Column:
+    return F.pmod(catalyst.murmur3(col, seed=1).cast("long"), F.lit(bits // BLOOM_SEGMENT))
+
+
 def _bloom_positions(col: Column, hashes: int, bits: int) -> Column:
     """The bits of a long: double hashing, the second hash seeded by the first, which chaining the column twice gives."""
     one, two = catalyst.murmur3(col, seed=0).cast("long"), catalyst.murmur3(col, col, seed=0).cast("long")
@@ -81,11 +92,16 @@ def _bloom_positions(col: Column, hashes: int, bits: int) -> Column:
 def bloom_words(df: DataFrame, col: Column, hashes: int, bits: int) -> DataFrame:
     """Bloom filter of a bigint column with a chosen number of hashes, as its non-zero 64-bit words (word, bits).
 
-    Nulls are skipped; ``bits`` is rounded up to a multiple of 64 and at most ``BLOOM_BITS``.
+    Nulls are skipped; ``bits`` is rounded up to a multiple of 64, beyond ``BLOOM_BITS`` to one of ``BLOOM_SEGMENT``.
     """
-    if hashes < 1 or not 0 < bits <= BLOOM_BITS:
-        raise ValueError(f"hashes must be positive and bits 1 to {BLOOM_BITS}")
-    at = df.where(col.isNotNull()).select(F.explode(_bloom_positions(col, hashes, -(-bits // 64) * 64)).alias("p"))
+    if hashes < 1 or bits < 1:
+        raise ValueError("hashes and bits must be positive")
+    some, size = df.where(col.isNotNull()), _bloom_size(bits)
+    if size <= BLOOM_BITS:
+        at = some.select(F.explode(_bloom_positions(col, hashes, size)).alias("p"))
+    else:
+        at = some.select(_bloom_segment(col, size).alias("s"), F.explode(_bloom_positions(col, hashes, BLOOM_SEGMENT)).alias("p"))
+        at = at.select((F.col("s") * BLOOM_SEGMENT + F.col("p")).alias("p"))
     return at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
 
 
@@ -97,13 +113,34 @@ def bloom_merge(first: DataFrame, *others: DataFrame) -> DataFrame:
     return out.groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
-def bloom_probe(words: DataFrame, col: Column, hashes: int, bits: int) -> Column:
-    """Whether a filter may hold a value (null for null); the filter becomes one array of ``bits`` bits."""
-    n = -(-bits // 64)
-    dense = words.sparkSession.range(n).select(F.col("id").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    array = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("words")).scalar()
+def _bloom_arrays(words: DataFrame, size: int, *groups: Column) -> DataFrame:
+    """All words in order, those that are 0 too, as one array a group."""
+    dense = words.sparkSession.range(size // 64).select(F.col("id").alias("word")).join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return dense.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w.bits).alias("words"))
+
+
+def _bloom_hit(array: Column, col: Column, hashes: int, bits: int) -> Column:
     hit = lambda p: F.call_function("shiftright", F.get(array, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    at, out = _bloom_positions(col, hashes, n * 64), col.isNotNull()
+    at, out = _bloom_positions(col, hashes, bits), col.isNotNull()
     for i in range(hashes):
         out = out & hit(F.get(at, i))
     return F.when(col.isNotNull(), out)
+
+
+def bloom_probe(words: DataFrame, col: Column, hashes: int, bits: int) -> Column:
+    """Whether a filter of at most ``BLOOM_BITS`` may hold a value (null for null); the filter becomes one array. ``bloom_hits`` has no such bound."""
+    size = _bloom_size(bits)
+    if size > BLOOM_BITS:
+        raise ValueError(f"a filter of more than {BLOOM_BITS} bits is probed by bloom_hits")
+    return _bloom_hit(_bloom_arrays(words, size).scalar(), col, hashes, size)
+
+
+def bloom_hits(df: DataFrame, words: DataFrame, col: Column, hashes: int, bits: int, name: str = "hit") -> DataFrame:
+    """``df`` with a column that tells whether a filter of any size may hold a value (null for null); a filter beyond
+    ``BLOOM_BITS`` is joined by segment, each an array of ``BLOOM_SEGMENT`` bits."""
+    size = _bloom_size(bits)
+    if size <= BLOOM_BITS:
+        return df.withColumn(name, bloom_probe(words, col, hashes, bits))
+    segments = _bloom_arrays(words, size, F.shiftright("word", (BLOOM_SEGMENT // 64).bit_length() - 1).alias("segment"))
+    rows = df.select(F.struct("*").alias("row"), col.alias("value"), F.when(col.isNotNull(), _bloom_segment(col, size)).alias("segment"))
+    return rows.join(segments, "segment", "left").select("row.*", _bloom_hit(F.col("words"), F.col("value"), hashes, BLOOM_SEGMENT).alias(name))

@@ -84,8 +84,8 @@ def bloom_false_hits(t) -> DataFrame:
     """All members hit, and of the other lines at most 5 in 100."""
     build = t("lineitem").where(_MEMBERS).select("l_orderkey").distinct()
     bits = max(64, 8 * build.count())
-    hit = aggregates.bloom_probe(aggregates.bloom_words(build, c("l_orderkey"), 3, bits), c("l_orderkey"), 3, bits)
-    lines = t("lineitem").select(F.expr(_MEMBERS).alias("member"), hit.alias("hit"))
+    words = aggregates.bloom_words(build, c("l_orderkey"), 3, bits)
+    lines = aggregates.bloom_hits(t("lineitem").select("l_orderkey", F.expr(_MEMBERS).alias("member")), words, c("l_orderkey"), 3, bits)
     out = lines.agg(F.count_if(c("member") & c("hit")).alias("members"), F.count_if(~c("member")).alias("others"), F.count_if(~c("member") & c("hit")).alias("wrong"))
     return out.select("members", "others", (c("wrong") * 20 <= c("others")).alias("few"))
 
