@@ -11,6 +11,10 @@ and both work and traffic stay in proportion to the corpus.
 Single words are counted exactly.  Texts are gathered into chunks with a vocabulary each; only
 vocabularies meet globally, split by hash, and each chunk gets its own words' counts back.
 
+Words and pairs are merged over several chunks before they are cut into buckets, at most ``2**FAN`` at once; more
+buckets take a second merge and cut.  A chunk asks ranges of buckets, whose number follows the distinct words or the
+filter's bytes.  So the rows that pass between chunks and buckets grow with the corpus, not with its square.
+
 score: sum over tokens of log10 of ``(c(v, w) + MU * p(w)) / (c(v) + MU)``, where v is the token before (a
 start mark at first), c(v, w) the filter's count (at most c(v)) and p(w) the smoothed share of w.
 base_score: sum of log10 p(w) = (c(w) + 1) / (N + V + 1).
@@ -34,6 +38,10 @@ MOST_BYTES = 192 << 20
 MU = 30.0
 #: Bytes of text in a chunk, and entries in a bucket of words or pairs.
 CHUNK, BUCKET = 2 << 20, 1 << 19
+#: Entries that are merged before a cut; bits of the buckets of one cut; least bits of the ranges that chunks ask.
+MERGE, FAN, RANGES = 1 << 21, 8, 6
+#: Distinct words and bytes of the filter in a range.
+RANGE_WORDS, RANGE_BYTES = 1 << 20, 16 << 20
 #: Bits of a pair's key.
 KEY = 52
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)  # stand-ins for the hashes of the end and of the start
@@ -97,20 +105,82 @@ def _chunks(size: int):
     return run
 
 
-def _word_buckets(bits: int):
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")  # which merges sorted runs
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def edges(keys: np.ndarray, width: int, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys of ``width`` bits for each bucket, their first ``bits``, that holds any."""
+    edge = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(width - bits)) if bits else 0, len(keys))
+    some = np.flatnonzero(edge[1:] > edge[:-1])
+    return list(zip(some.tolist(), edge[some].tolist(), edge[some + 1].tolist()))
+
+
+def _train_words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    words, train = ascended(row["words"]), unpacked(row["train"], np.uint32)
+    return words[train > 0], train[train > 0].astype(U)
+
+
+def _train_pairs(row: dict) -> tuple[np.ndarray, None]:
+    _, known, held, lengths, _, word, before = _documents(row)
+    learn = np.repeat(known & ~held, lengths)
+    return pair_keys(before[learn], word[learn]), None
+
+
+def _cut_before(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return ascended(row["keys"]), unpacked(row["counts"], U)
+
+
+_CUT = "bucket long, keys binary, counts binary"
+
+
+def _cuts(of, width: int, bits: int, most: int):
+    """Keys and counts ``of`` rows (no counts: one each), merged some ``most`` at a time and cut into buckets."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([k for k, _ in held])
+        if held[0][1] is None:
+            held.clear()
+            keys, counts = np.unique(keys, return_counts=True)
+        else:
+            counts = np.concatenate([c for _, c in held])
+            held.clear()
+            keys, counts = merged(keys, counts)
+        rows = [(b, ascending(keys[x:y]), packed(counts[x:y].astype(U))) for b, x, y in edges(keys, width, bits)]
+        if rows:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
+        held, n = [], 0
         for batch in batches:
-            for chunk, words, train in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "train"))):
-                words, train = ascended(words), unpacked(train, np.uint32)
-                edge = np.searchsorted(words, np.arange(1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(1, np.int64)
-                edge = np.append(edge, len(words))
-                rows = [(b, chunk, ascending(words[x:y]), packed(train[x:y])) for b, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())) if y > x]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "words", "train"])
+            for k in range(batch.num_rows):
+                held.append(of(batch.slice(k, 1).to_pylist()[0]))
+                n += len(held[-1][0])
+                if n >= most:
+                    yield from flush(held)
+                    n = 0
+        if held:
+            yield from flush(held)
 
     return run
 
 
+def _counted(rows: DataFrame, of, width: int, bits: int, merge: int, fan: int) -> DataFrame:
+    """Rows (bucket, keys, counts), sorted by bucket in each partition, a bucket in one partition."""
+    deal = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    done = min(bits, fan)
+    out = deal(rows.mapInArrow(_cuts(of, width, done, merge), _CUT))
+    while done < bits:
+        done = min(bits, done + fan)
+        out = deal(out.mapInArrow(_cuts(_cut_before, width, done, merge), _CUT))
+    return out
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
     """Rows of a stream sorted by ``key``, gathered by its values."""
     now, rows = None, []
@@ -125,18 +195,53 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield now, rows
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's words' counts over all chunks; a row of chunk -1 has the bucket's distinct words and tokens."""
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's distinct words with their totals."""
     for bucket, rows in _grouped(batches, "bucket"):
-        words = [ascended(r["words"]) for r in rows]
-        distinct, which = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(which, np.concatenate([unpacked(r["train"], np.uint32) for r in rows]), len(distinct)).astype(U)
-        out = [(-1, bucket, int((total > 0).sum()), int(total.sum()), None)]
-        at = 0
-        for r, w in zip(rows, words):
-            out.append((r["chunk"], bucket, 0, 0, packed(total[which[at : at + len(w)]])))
-            at += len(w)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.binary(),))], ["chunk", "bucket", "v", "n", "totals"])
+        words, total = merged(*map(np.concatenate, zip(*map(_cut_before, rows))))
+        row = (bucket, len(words), int(total.sum()), ascending(words), packed(total))
+        yield pa.record_batch([pa.array([c], t) for c, t in zip(row, (pa.int64(),) * 3 + (pa.binary(),) * 2)], ["bucket", "v", "n", "keys", "counts"])
+
+
+def _asked_words(bits: int):
+    """The words of each chunk, cut by the range that holds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
+        for batch in batches:
+            for chunk, raw in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words"))):
+                words = ascended(raw)
+                rows = [(b, chunk, ascending(words[x:y]), None) for b, x, y in edges(words, 64, bits)]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "keys", "counts"])
+
+    return run
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The totals of the words that chunks ask for, from rows sorted by (bucket, chunk); the vocabulary's rows have negative chunks."""
+    only("powers")
+    now, held = None, []
+    for batch in batches:
+        out = []
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            if row["bucket"] != now:
+                now, held = row["bucket"], []
+            if row["chunk"] < 0:
+                held.append(_cut_before(row))
+                continue
+            if len(held) > 1:
+                held = [tuple(map(np.concatenate, zip(*held)))]
+            keys = ascended(row["keys"])
+            total = np.zeros(len(keys), U)
+            if held:
+                words, totals = held[0]
+                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                hit = words[at] == keys
+                total[hit] = totals[at[hit]]
+            out.append((row["chunk"], now, packed(total)))
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "totals"])
 
 
 def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,22 +254,6 @@ def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["known_id"], bool), np.frombuffer(row["held"], bool), lengths, tokens, word, before
 
 
-def _pair_buckets(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("powers")
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, known, held, lengths, _, word, before = _documents(row)
-                learn = np.repeat(known & ~held, lengths)
-                keys, counts = np.unique(pair_keys(before[learn], word[learn]), return_counts=True)
-                edge = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(KEY - bits)), len(keys))
-                rows = [(b, ascending(keys[x:y]), packed(counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())) if y > x]
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "keys", "counts"])
-
-    return run
-
-
 def probes(keys: np.ndarray, level: int | np.ndarray, i: int) -> np.ndarray:
     h = mix(keys + (np.asarray(level).astype(U) << U(56)))
     return (h >> U(20)) + U(i) * (mix(h) >> U(20) | U(1))
@@ -184,9 +273,7 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for bucket, rows in _grouped(batches, "bucket"):
-        keys, which = np.unique(np.concatenate([ascended(r["keys"]) for r in rows]), return_inverse=True)
-        counts = np.bincount(which, np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]))
-        raw = segment(keys, counts)
+        raw = segment(*merged(*map(np.concatenate, zip(*map(_cut_before, rows)))))
         yield pa.record_batch([pa.array([bucket]), pa.array([len(raw)], pa.int64()), pa.array([raw], pa.binary())], ["bucket", "bytes", "bits"])
 
 
@@ -225,7 +312,7 @@ def expected(levels: np.ndarray) -> np.ndarray:
 
 
 def _asked(bits: int):
-    """The distinct pairs of each chunk, cut by the segment that holds them; segments' own rows have chunk -1 and sort first."""
+    """The distinct pairs of each chunk, cut by the range of segments that holds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("powers")
@@ -233,30 +320,37 @@ def _asked(bits: int):
             for row in batch.to_pylist():
                 _, _, _, _, _, word, before = _documents(row)
                 keys = np.unique(pair_keys(before, word))
-                edge = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(KEY - bits)), len(keys))
-                rows = [(b, row["chunk"], ascending(keys[x:y])) for b, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())) if y > x]
+                rows = [(b, row["chunk"], ascending(keys[x:y])) for b, x, y in edges(keys, KEY, bits)]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "raw"])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The levels of the pairs that chunks ask for, from rows sorted by (bucket, chunk)."""
-    only("powers")
-    now, held = None, None
-    for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            if row["chunk"] < 0:
-                # A segment alone: its number need not be looked up.
-                now, held = row["bucket"], Filter(0, [(0, len(row["raw"]))], row["raw"])
-                continue
-            keys = ascended(row["raw"])
-            levels = held.levels(keys) if row["bucket"] == now else np.zeros(len(keys), np.uint8)
-            rows.append((row["chunk"], row["bucket"], packed(levels)))
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "levels"])
+def _answers(bits: int):
+    """The levels of the pairs that chunks ask for, from rows sorted by (bucket, chunk); a segment has its number less ``2**bits`` as chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("powers")
+        now, lengths, raw, held = None, [], bytearray(), None
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if row["bucket"] != now:
+                    now, lengths, raw, held = row["bucket"], [], bytearray(), None
+                if row["chunk"] < 0:
+                    lengths.append((row["chunk"] + (1 << bits), len(row["raw"])))
+                    raw += row["raw"]
+                    continue
+                if held is None and lengths:
+                    held = Filter(bits, lengths, raw)
+                keys = ascended(row["raw"])
+                levels = held.levels(keys) if held else np.zeros(len(keys), np.uint8)
+                rows.append((row["chunk"], now, packed(levels)))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["chunk", "bucket", "levels"])
+
+    return run
 
 
 def _scores(shared, n: int, v: int, starts: int):
@@ -286,7 +380,7 @@ def _scores(shared, n: int, v: int, starts: int):
     return run
 
 
-def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
+def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUNK, bucket: int = BUCKET, merge: int = MERGE, fan: int = FAN) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score.
 
@@ -303,20 +397,24 @@ def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUN
     # About ``bucket`` entries each: a word takes some five bytes here, a token some two.
     w_bits, p_bits = (max(1, int((s or 0) // per // bucket).bit_length()) for s, per in ((size.w, 5), (size.t, 2)))
 
-    dealt = chunks.select("chunk", "words", "train").mapInArrow(_word_buckets(w_bits), "bucket long, chunk long, words binary, train binary")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
-    totals = materialise(dealt.mapInArrow(_word_counts, "chunk long, bucket long, v long, n long, totals binary"), "totals")
-    sums = totals.where("chunk = -1").select(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
+    words = _counted(chunks.select("words", "train"), _train_words, 64, w_bits, merge, fan)
+    words = materialise(words.mapInArrow(_vocabulary, "bucket long, v long, n long, keys binary, counts binary"), "words")
+    sums = words.select(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n = sums.v or 0, sums.n or 0
+    ranges = min(w_bits, max(RANGES, (v // RANGE_WORDS).bit_length()))
+    own = words.select(F.shiftright("bucket", w_bits - ranges).alias("bucket"), (F.col("bucket") - (1 << w_bits)).alias("chunk"), "keys", "counts")
+    asked = chunks.select("chunk", "words").mapInArrow(_asked_words(ranges), "bucket long, chunk long, keys binary, counts binary")
+    asked = asked.union(own).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    totals = materialise(asked.mapInArrow(_word_counts, "chunk long, bucket long, totals binary"), "totals")
     starts = docs.where("doc_id is not null and not held").count()
 
-    pairs = chunks.select("ids", "known_id", "held", "counts", "tokens", "words").mapInArrow(_pair_buckets(p_bits), "bucket long, keys binary, counts binary")
-    parts = pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_segments, "bucket long, bytes long, bits binary")
-    parts = materialise(parts, "segments")
-    mine = totals.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))
+    pairs = _counted(chunks.select("ids", "known_id", "held", "counts", "tokens", "words"), _train_pairs, KEY, p_bits, merge, fan)
+    parts = materialise(pairs.mapInArrow(_segments, "bucket long, bytes long, bits binary"), "segments")
+    mine = totals.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("parts"))
     both = chunks.drop("train").join(mine, "chunk")
     shared = None
-    if (parts.agg(F.sum("bytes")).first()[0] or 0) <= most_bytes:
+    filter_bytes = parts.agg(F.sum("bytes")).first()[0] or 0
+    if filter_bytes <= most_bytes:
         lengths, raw = [], bytearray()
         for r in parts.orderBy("bucket").toLocalIterator():  # at most ``most_bytes`` in all
             lengths.append((r.bucket, len(r.bits)))
@@ -324,9 +422,10 @@ def score_texts(docs: DataFrame, most_bytes: int = MOST_BYTES, chunk: int = CHUN
         shared = spark.sparkContext.broadcast((p_bits, lengths, raw))
         del raw
     else:
-        asked = chunks.select("chunk", "ids", "known_id", "held", "counts", "tokens", "words").mapInArrow(_asked(p_bits), "bucket long, chunk long, raw binary")
-        own = parts.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("raw"))
+        ranges = min(p_bits, max(RANGES, (filter_bytes // RANGE_BYTES).bit_length()))
+        asked = chunks.select("chunk", "ids", "known_id", "held", "counts", "tokens", "words").mapInArrow(_asked(ranges), "bucket long, chunk long, raw binary")
+        own = parts.select(F.shiftright("bucket", p_bits - ranges).alias("bucket"), (F.col("bucket") - (1 << p_bits)).alias("chunk"), F.col("bits").alias("raw"))
         rows = asked.union(own).repartition("bucket").sortWithinPartitions("bucket", "chunk")
-        answers = materialise(rows.mapInArrow(_answers, "chunk long, bucket long, levels binary"), "answers")
+        answers = materialise(rows.mapInArrow(_answers(p_bits), "chunk long, bucket long, levels binary"), "answers")
         both = both.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "levels")).alias("answers")), "chunk")
     return both.mapInArrow(_scores(shared, n, v, starts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
