@@ -295,10 +295,14 @@ class Filter:
         bucket = (keys >> U(KEY - self.bits)).astype(np.int64)
         live = np.flatnonzero(self.size[bucket] > 0)
         while len(live):
-            for i in range(HASHES):
-                b = bucket[live]
-                p = (probes(keys[live], out[live] + 1, i) % self.size[b].astype(U)).astype(np.int64)
-                live = live[(self.raw[self.at[b] + (p >> 3)] >> (p & 7).astype(np.uint8) & 1).astype(bool)]
+            h = mix(keys[live] + (out[live] + U(1) << U(56)))
+            p, step = h >> U(20), mix(h) >> U(20) | U(1)  # as ``probes``, whose hashes serve all ``HASHES`` bits
+            at, size = self.at[bucket[live]], self.size[bucket[live]].astype(U)
+            for _ in range(HASHES):
+                bit = (p % size).astype(np.int64)
+                some = np.flatnonzero(self.raw[at + (bit >> 3)] >> (bit & 7).astype(np.uint8) & 1)
+                live, at, size, step = live[some], at[some], size[some], step[some]
+                p = p[some] + step
             out[live] += 1
         return out
 
