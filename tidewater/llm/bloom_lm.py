@@ -13,7 +13,8 @@ vocabularies meet globally, split by hash, and each chunk gets its own words' co
 
 Words and pairs are merged over several chunks before they are cut into buckets, at most ``2**FAN`` at once; more
 buckets take a second merge and cut.  A chunk asks ranges of buckets, whose number follows the distinct words or the
-filter's bytes.  So the rows that pass between chunks and buckets grow with the corpus, not with its square.
+filter's bytes.  So the rows that pass between them grow with the corpus, until some 67 million distinct words or a
+filter of 1 GB take more than ``2**RANGES`` ranges; from there each chunk asks more of them.
 
 score: sum over tokens of log10 of ``(c(v, w) + MU * p(w)) / (c(v) + MU)``, where v is the token before (a
 start mark at first), c(v, w) the filter's count (at most c(v)) and p(w) the smoothed share of w.
